@@ -1,0 +1,2 @@
+QUERIES: dict = {}
+SQL: dict = {}
