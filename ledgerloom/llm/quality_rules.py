@@ -56,7 +56,9 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
     )
     p = F.col("_p")
     covered = F.aggregate(F.sequence(F.lit(1), F.size(p)), F.lit(0).cast("long"), lambda n, k: n + F.coalesce(F.least(F.lit(5), F.get(p, k) - F.get(p, k - 1)), F.lit(5)))
-    return starts.withColumn("n_repeat_words", F.when(F.size(p) > 0, covered).otherwise(F.lit(0).cast("long"))).drop("_p")
+    measured = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")
+    # inline keeps a later filter on the ledger from being pushed down, where each use would measure the text again
+    return starts.select("doc_id", F.inline(F.array(F.struct(*measured, F.when(F.size(p) > 0, covered).otherwise(F.lit(0).cast("long")).alias("n_repeat_words")))))
 
 
 def _failures() -> dict[str, Column]:
