@@ -46,7 +46,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, follow: float
 
     Both directions run in one table keyed by (side, host): trust follows links, distrust goes against
     them. Every round is one join on the sending host and one sum by the receiving host, which combines
-    before the shuffle, so a host with very many links is no single task's work.
+    before the shuffle, so a host with very many links is no single task's work. Hosts that send nothing on
+    return their score to the seeds, which is the same as scaling each side's scores to a sum of one.
     """
     one_way = edges.select(F.lit("allow").alias("side"), F.col("src").alias("host"), F.col("dst").alias("to"), "n")
     other = edges.select(F.lit("block").alias("side"), F.col("dst").alias("host"), F.col("src").alias("to"), "n")
@@ -59,9 +60,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, follow: float
     for k in range(rounds):
         sent = rank.join(steps, ["side", "host"]).select("side", F.col("to").alias("host"), (F.lit(follow) * F.col("p") * F.col("share")).alias("p"))
         rank = sent.unionByName(jump.withColumn("p", F.lit(1 - follow) * F.col("p"))).groupBy("side", "host").agg(F.sum("p").alias("p"))
-        if k % 4 == 3:
+        if k % 4 == 3 and k < rounds - 1:
             rank = materialize(rank, f"host-rank-{k}")
     side = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("p"))), F.lit(0.0))
+    rank = materialize(rank, "host-rank")
+    sums = rank.groupBy("side").agg(F.sum("p").alias("sum"))  # two rows
+    rank = rank.join(F.broadcast(sums), "side").withColumn("p", F.col("p") / F.col("sum"))
     return rank.groupBy("host").agg(side("allow").alias("trust"), side("block").alias("distrust"))
 
 
@@ -69,7 +73,8 @@ def url_verdicts(pages: DataFrame, rules=RULES, rounds: int = 8, threshold: floa
     """page_id, host, path, rule, verdict, trust, distrust; one row per input row.
 
     A null url, or one without "://", has host and path '', no rule, and is allowed: no host speaks
-    against it. A host is a seed of the side that settles at least half of its pages. A page no rule
+    against it. A host is a seed of the side that settles at least half of its pages; for that an empty
+    path stands for the root. A page no rule
     fits is blocked if its host's distrust exceeds threshold times its trust and the mean score of
     all hosts. Null html has no links; repeated rows stay; an empty table gives an empty result.
     """
@@ -77,8 +82,9 @@ def url_verdicts(pages: DataFrame, rules=RULES, rounds: int = 8, threshold: floa
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, said = matched_rule(F.col("host"), F.col("path"), rules)
     judged = parts.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"))
+    _, settled = matched_rule(F.col("host"), F.when(F.col("path") == "", "/").otherwise(F.col("path")), rules)
     by_host = materialize(
-        judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("said") == "allow").alias("allow"), F.count_if(F.col("said") == "block").alias("block")), "hosts"
+        parts.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(settled == "allow").alias("allow"), F.count_if(settled == "block").alias("block")), "hosts"
     )
     seeds = by_host.select("host", F.when(2 * F.col("block") >= F.col("n"), "block").when(2 * F.col("allow") >= F.col("n"), "allow").alias("verdict"), F.greatest("allow", "block").alias("weight")).where("verdict is not null")
     scores = propagate(materialize(host_edges(pages), "host-edges"), seeds, rounds)
