@@ -88,9 +88,9 @@ def url_verdicts(pages: DataFrame, rules=RULES, rounds: int = 8, threshold: floa
     )
     seeds = by_host.select("host", F.when(2 * F.col("block") >= F.col("n"), "block").when(2 * F.col("allow") >= F.col("n"), "allow").alias("verdict"), F.greatest("allow", "block").alias("weight")).where("verdict is not null")
     scores = propagate(materialize(host_edges(pages), "host-edges"), seeds, rounds)
-    mean = by_host.agg((1.0 / F.greatest(F.count("*"), F.lit(1))).alias("mean"))
-    scores = materialize(scores.crossJoin(F.broadcast(mean)), "host-scores")  # mean is one row
-    distrusted = (F.col("distrust") > threshold * F.col("trust")) & (F.col("distrust") > F.col("mean"))
+    mean = 1.0 / max(1, by_host.count())  # of scores that add up to one
+    scores = materialize(scores, "host-scores")
+    distrusted = (F.col("distrust") > threshold * F.col("trust")) & (F.col("distrust") > mean)
     return judged.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("said", F.when(distrusted, "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
