@@ -85,11 +85,14 @@ def _thresholds(x: np.ndarray) -> np.ndarray:
 
 
 def _gradient(x: np.ndarray):
-    """A partition's loss and gradient at x: weights, then the first threshold and the logs of the gaps between them."""
-    weights, thresholds = x[:FEATURES], _thresholds(x[FEATURES:])
+    """A partition's loss and gradient at x: weights, then the first threshold and the logs of the gaps between them.
+
+    Every round sends the weights to all executors anew, so they go as float32 and nothing else goes with them.
+    """
+    many, weights, gaps, thresholds = len(x) - GRADES + 1, x[: 1 - GRADES].astype(np.float32), np.exp(x[2 - GRADES :]), _thresholds(x[1 - GRADES :])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, grad, seen = 0.0, np.zeros(len(x)), False
+        loss, grad, seen = 0.0, np.zeros(many + GRADES - 1), False
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -97,20 +100,20 @@ def _gradient(x: np.ndarray):
             y = batch.column(0).to_numpy()
             lists = batch.column(1)
             flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            f = np.add.reduceat(weights[flat], offsets[:-1])
+            f = np.add.reduceat(weights[flat].astype(float), offsets[:-1])
             c = _cumulative(f, thresholds)
             rows = np.arange(len(y))
             high, low = c[rows, y + 1], c[rows, y]
             p = np.maximum(high - low, 1e-12)
             loss -= np.log(p).sum()
             dh, dl = high * (1 - high), low * (1 - low)
-            grad[:FEATURES] += np.bincount(flat, np.repeat((dh - dl) / p, np.diff(offsets)), FEATURES)
+            grad[:many] += np.bincount(flat, np.repeat((dh - dl) / p, np.diff(offsets)), many)
             by = np.zeros(GRADES - 1)
             np.add.at(by, y[y < GRADES - 1], -(dh / p)[y < GRADES - 1])
             np.add.at(by, y[y > 0] - 1, (dl / p)[y > 0])
-            grad[FEATURES] += by.sum()
+            grad[many] += by.sum()
             for k in range(1, GRADES - 1):
-                grad[FEATURES + k] += by[k:].sum() * np.exp(x[FEATURES + k])
+                grad[many + k] += by[k:].sum() * gaps[k - 1]
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([grad.astype(np.float32).tobytes()], pa.binary())], ["loss", "grad"])
 
@@ -131,16 +134,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
     # `sample` rows of two numbers: bounded by the parameter
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("grade", feats("text").alias("idx"))
     rows = materialize(rows.coalesce(6), "graded")
-    n = rows.count()
-    if not n:
+    # the features the sample has, at most FEATURES; the others' weights stay 0, so rounds go without them
+    used = np.array(sorted(r[0] for r in rows.select(F.explode("idx")).distinct().collect()), np.int32)
+    if not len(used):
         return None
+    place = F.pandas_udf(lambda lists: pd.Series([np.searchsorted(used, x).astype(np.int32) for x in lists]), "array<int>")
+    rows = materialize(rows.select("grade", place("idx").alias("idx")), "graded-compact")
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
         parts = rows.mapInArrow(_gradient(x), "loss double, grad binary").collect()  # a row per partition, at most 6
-        w = np.concatenate([x[:FEATURES], np.zeros(GRADES - 1)])
+        w = np.concatenate([x[: len(used)], np.zeros(GRADES - 1)])
         return sum(p.loss for p in parts) + penalty / 2 * w @ w, sum(np.frombuffer(p.grad, np.float32).astype(float) for p in parts) + penalty * w
 
-    x = np.concatenate([np.zeros(FEATURES), [-2.0], np.zeros(GRADES - 2)])
+    x = np.concatenate([np.zeros(len(used)), [-2.0], np.zeros(GRADES - 2)])
     v, g = value(x)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
@@ -166,7 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
             past = [*past[-7:], (s, y)]
         if done:
             break
-    return Model(x[:FEATURES].astype(np.float32), _thresholds(x[FEATURES:]))
+    weights = np.zeros(FEATURES, np.float32)
+    weights[used] = x[: len(used)]
+    return Model(weights, _thresholds(x[len(used) :]))
 
 
 def graded(docs: DataFrame, model: Model | None, keep_tail: float = KEEP_TAIL) -> DataFrame:
