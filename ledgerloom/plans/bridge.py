@@ -96,3 +96,30 @@ e AS (SELECT event_id AS row_id, user_id % 10 AS account, ts::DATE AS day, floor
 bk AS (SELECT row_id, account, day, 2 * v AS amount FROM e WHERE event_type = 'purchase'),
 py AS (SELECT row_id, account, day, v AS amount FROM e WHERE event_type = 'click')
 """
+
+
+def canonical_sides(statement_rows: DataFrame) -> DataFrame:
+    """Canonical rows of the statement: every 53rd is missing, every 31st is off by a cent."""
+    k = F.col("row_id")
+    return statement_rows.where(k % 53 != 0).select("row_id", (k + 1000000).alias("canonical_id"), (F.col("amount") + F.when(k % 31 == 0, 0.01).otherwise(0).cast(MONEY)).cast(MONEY).alias("canonical_amount"))
+
+
+INTERVALS = STATEMENT + """,
+cn AS (SELECT row_id, row_id + 1000000 AS canonical_id, (amount + CASE WHEN row_id % 31 = 0 THEN 0.01 ELSE 0 END)::DECIMAL(18,2) AS canonical_amount FROM st WHERE row_id % 53 <> 0),
+iv0 AS (SELECT account, row_id, ts, amount, balance, lag(balance) OVER (PARTITION BY account ORDER BY ts, row_id) AS previous FROM st),
+iv1 AS (SELECT iv0.*, canonical_id, canonical_amount, coalesce(balance - previous - amount, 0)::DECIMAL(18,2) AS source_difference, (canonical_amount - amount)::DECIMAL(18,2) AS canonical_difference FROM iv0 LEFT JOIN cn USING (row_id)),
+iv AS (SELECT *, concat_ws(',', CASE WHEN source_difference <> 0 THEN 'source_balance_break' END, CASE WHEN canonical_id IS NULL THEN 'canonical_missing' END, CASE WHEN canonical_difference <> 0 THEN 'canonical_amount_mismatch' END) AS reasons,
+  CASE WHEN canonical_id IS NULL THEN 'canonical_missing' WHEN canonical_difference <> 0 THEN 'canonical_amount_mismatch' WHEN source_difference <> 0 THEN 'source_balance_break' ELSE 'ok' END AS status FROM iv1)
+"""
+
+
+def roll_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(latest, pending): bank rows before 1997 summed by card suffix, and the wallet rows of all years."""
+    rows = observations(spark, sf_dir).withColumn("day", F.col("ts").cast("date"))
+    bank = rows.where("source = 'bank' AND ts < timestamp_ntz'1997-01-01 00:00:00'").groupBy("suffix").agg(F.max("day").alias("day"), F.sum("amount").cast(MONEY).alias("balance"))
+    return bank, rows.where("source <> 'bank'").select("suffix", "day", "amount")
+
+
+ROLL = OBSERVATIONS + """,
+lt AS (SELECT suffix, max(ts::DATE) AS day, sum(amount)::DECIMAL(18,2) AS balance FROM obs WHERE source = 'bank' AND ts < TIMESTAMP '1997-01-01' GROUP BY suffix)
+"""

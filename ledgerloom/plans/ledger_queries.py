@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
-from ledgerloom.operators import balances, classify, dedup, matching, refunds, statistics
+from ledgerloom.operators import balances, classify, dedup, intervals, matching, refunds, statistics
 from ledgerloom.plans import bridge as B
 
 QUERIES: dict = {}
@@ -270,3 +270,25 @@ def import_coverage(spark, d):
 def parsed_amounts(spark, d):
     text = F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.concat(F.lit("¥ +"), F.format_number("value", 2)))
     return B.table(spark, d, "events").select(F.col("event_id").alias("row_id"), X.clean_amount(text).alias("amount"))
+
+
+_INTERVAL_COLUMNS = "account, row_id, ts, amount, balance, previous, canonical_id, canonical_amount, source_difference, canonical_difference, reasons, status"
+
+
+@query("interval_reconciliation", f"WITH {B.INTERVALS} SELECT {_INTERVAL_COLUMNS} FROM iv")
+def interval_reconciliation(spark, d):
+    rows = B.statement(spark, d)
+    return intervals.interval_reconciliation(rows, B.canonical_sides(rows)).select(*_INTERVAL_COLUMNS.split(", "))
+
+
+@query("interval_summary", f"""WITH {B.INTERVALS} SELECT account, count(*) AS n_rows, count(*) FILTER (status <> 'ok') AS n_failures,
+  arg_min(row_id, (ts, row_id)) FILTER (status <> 'ok') AS first_failure, arg_min(status, (ts, row_id)) FILTER (status <> 'ok') AS first_status FROM iv GROUP BY account""")
+def interval_summary(spark, d):
+    rows = B.statement(spark, d)
+    return intervals.interval_summary(intervals.interval_reconciliation(rows, B.canonical_sides(rows)))
+
+
+@query("roll_forward", f"""WITH {B.ROLL}, ad AS (SELECT lt.suffix, sum(obs.amount) AS adj, max(obs.ts::DATE) AS till FROM lt JOIN obs ON obs.suffix = lt.suffix AND source <> 'bank' AND obs.ts::DATE > lt.day GROUP BY lt.suffix)
+SELECT suffix, balance AS statement_balance, coalesce(adj, 0)::DECIMAL(18,2) AS pending_adjustment, (balance + coalesce(adj, 0))::DECIMAL(18,2) AS balance, coalesce(till, day) AS as_of FROM lt LEFT JOIN ad USING (suffix)""")
+def roll_forward(spark, d):
+    return intervals.roll_forward(*B.roll_sides(spark, d))
