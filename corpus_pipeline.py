@@ -35,8 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's shard and place."""
-    return sharding.shard_rows(docs)
+    """Every document's shard, and its place there in the order of the mix: docs are the files that the mixing stage wrote."""
+    return sharding.shard_rows_in_order(docs)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("mixed", mixed), ("sharded", sharded)]

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VIRTUAL_SLOTS = 4096
+#: Rows of one file that are numbered together when slots follow the files' order.
+CHUNK_ROWS = 20_000
 
 
 def virtual_slot(doc_id: Column, slots: int = VIRTUAL_SLOTS) -> Column:
@@ -74,3 +76,28 @@ def shard_rows(docs: DataFrame, shards: int = 8, slots: int = VIRTUAL_SLOTS, tex
     return rows.withColumn("place", place).join(F.broadcast(starts), "vslot").select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place") - 1).alias("slot"), "grown_shard", "vslot", F.lit(1).alias("map_version")
     )
+
+
+def shard_rows_in_order(docs: DataFrame, shards: int = 8, slots: int = VIRTUAL_SLOTS, text: str = "text") -> DataFrame:
+    """shard_rows, but the slots of a shard follow the order of docs' rows in their Parquet files.
+
+    docs must be read straight from files that Spark wrote: the order is the part number, then the row
+    inside the file, whatever the order of reading. Rows are numbered by shard and chunk of a file, and each
+    chunk starts where the one before ends, so no task sees a whole shard or a whole file.
+    """
+    spark = docs.sparkSession
+    whole = F.coalesce(F.col(text), F.lit(""))
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    chunk = F.struct(part.alias("part"), F.col("_metadata.file_name").alias("file"), F.floor(F.col("_metadata.row_index") / CHUNK_ROWS).alias("k"))
+    vslot = virtual_slot(F.col("doc_id"), slots).alias("vslot")
+    owned = slot_map(spark, shards, slots).join(slot_map(spark, shards + 1, slots).withColumnRenamed("shard", "grown_shard"), "vslot")
+    rows = docs.select(
+        "doc_id", (F.octet_length(whole).cast("long") + 1).alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), vslot, chunk.alias("chunk"), F.col("_metadata.row_index").alias("row")
+    ).join(F.broadcast(owned), "vslot")
+    counts = docs.select(vslot, chunk.alias("chunk")).join(F.broadcast(owned), "vslot").groupBy("shard", "chunk").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("shard", "chunk", F.coalesce(before, F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("row"))
+    return rows.withColumn("place", place).join(starts, ["shard", "chunk"]).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place") - 1).alias("slot"), "grown_shard", "vslot", F.lit(1).alias("map_version")
+    )

@@ -6,7 +6,7 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
-from ledgerloom.llm import quality_classifier
+from ledgerloom.llm import mixing, quality_classifier
 
 WORDS = [f"word{i}" for i in range(500)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -82,3 +82,25 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns, name
     assert quality_classifier.accepted(docs.limit(0), None).columns == docs.columns
+
+
+def test_slots_follow_the_mix(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}", "en", "big" if i % 10 else "small", 5) for i in range(3000)]
+    folder = _tables(spark, tmp_path, rows, [], [])
+    at = {r["doc_id"]: (r["time_slot"], r["in_block"]) for r in mixing.mix_order(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+
+    def in_mix_order(stages):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+        by_shard = {}
+        for r in corpus_pipeline.run(spark, folder).collect():
+            by_shard.setdefault(r["shard"], []).append((r["slot"], at[r["doc_id"]]))
+        assert sum(map(len, by_shard.values())) == len(rows)
+        return all([p for _, p in sorted(s)] == sorted(p for _, p in s) for s in by_shard.values())
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        last = corpus_pipeline.STAGES[3:]
+        assert in_mix_order(last)
+        assert not in_mix_order([("mixed", lambda spark, docs, sf_dir: docs), last[1]])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
