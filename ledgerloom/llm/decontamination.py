@@ -80,6 +80,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
     windows; equal windows of several items count for each. Rows of one id and different texts are
     told apart by a hash of the text, repeated rows get equal results; a null id is an id.
     """
+    return _judged(docs, benchmark, size).drop("th")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """contamination with th, the text's hash, beside doc_id."""
     by_item = materialize(windows(benchmark, size), "windows")
     wins = by_item.select("win", "n").distinct()
     terms = materialize(by_item.select(F.explode("win").alias("term")).distinct(), "terms")
@@ -95,13 +100,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
     out = rows.join(marks, rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["th"] == F.col("_th")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        "doc_id", "th", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """docs without its contaminated rows, with its own columns."""
-    bad = contamination(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    bad = checked_broadcast(materialize(bad, "contaminated"), 16)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without its contaminated rows, with its own columns. Clean rows that share a contaminated row's id, or lack one too, stay."""
+    bad = _judged(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("th").alias("_th")).distinct()
+    bad = checked_broadcast(materialize(bad, "contaminated"), 24)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_th")), "left_anti")

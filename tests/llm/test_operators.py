@@ -261,3 +261,11 @@ def test_empty_tables(spark, docs):
     ):
         assert df.count() == 0
     assert decontamination.contamination(docs, bench).where("contaminated or n_items > 0").count() == 0
+
+
+def test_clean_rows_of_a_contaminated_id_stay(spark):
+    rng = random.Random(8)
+    item, clean = _text(rng, 40), [_text(rng, 60) for _ in range(3)]
+    docs = spark.createDataFrame([(None, item), (None, clean[0]), (None, None), (1, item), (1, clean[1]), (2, clean[2])], "doc_id long, text string")
+    kept = decontamination.uncontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert _found(kept, "doc_id", "text") == Counter([(None, clean[0]), (None, None), (1, clean[1]), (2, clean[2])])
