@@ -3,18 +3,22 @@
 Each source's rows are cut into blocks. A source of weight w gives its i-th block the release time
 floor(i/w) and the deadline ceil((i+1)/w); the earliest deadline among released blocks goes next, so in
 every prefix each source is less than one block off its target. With weights in units of 1/period the
-schedule repeats, so one period is scheduled once and every block looks up its place. Built-in
-expressions only.
+schedule repeats, so one period is scheduled once, in the driver, from the sources' weights alone, and every
+block looks up its place. Rows meet built-in expressions only.
 """
 
 from __future__ import annotations
 
+from array import array
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, materialize
 
-#: Time slots of one period; weights are rounded to multiples of 1/PERIOD, at least one.
+#: Least time slots of one period; weights are rounded to multiples of one slot. More or smaller sources make it longer.
 PERIOD = 1000
 BLOCK_ROWS = 32
 #: Rows that one numbering task holds on average.
@@ -27,39 +31,50 @@ def scatter(doc_id: Column) -> Column:
     return F.pmod(F.pmod(F.coalesce(doc_id, F.lit(0)), F.lit(1 << 31)) * SCATTER, F.lit(1 << 32))
 
 
+def period_for(sizes: DataFrame, power: float = 0.5, least: int = PERIOD) -> int:
+    """Time slots of a period: the first multiple of least in which the smallest target weight has a whole slot."""
+    w = F.pow("n", F.lit(power))
+    slots = sizes.agg((F.sum(w) / F.min(w)).alias("slots")).first()["slots"] or 0
+    return (int(slots / least) + 1) * least
+
+
 def source_weights(sizes: DataFrame, power: float = 0.5, period: int = PERIOD) -> DataFrame:
     """(source, units) from (source, n): target weight n^power, in units of 1/period that add up to period.
 
-    Every source gets one unit, the rest go in proportion by largest remainder (ties by name). Sources
-    are configuration-sized; more than period of them is an error rather than a silent cut.
+    The units go in proportion by largest remainder (ties by name). In the period of period_for every source has one
+    at least; in a shorter one it is an error if not all sources can have one.
     """
-    one = Window.partitionBy(F.lit(1))  # one row per source: bounded by period
-    total, many = F.sum(F.pow("n", F.lit(power))).over(one), F.count("*").over(one)
-    share = F.pow("n", F.lit(power)) / total * (F.lit(period) - many)
-    rows = sizes.select("source", F.assert_true(many <= period, F.lit("more sources than time slots")).alias("_ok"), share.alias("share"), F.floor(share).alias("whole"))
-    left = F.lit(period) - F.count("*").over(one) - F.sum("whole").over(one)
+    one = Window.partitionBy(F.lit(1))  # one row per source
+    share = F.pow("n", F.lit(power)) / F.sum(F.pow("n", F.lit(power))).over(one) * F.lit(period)
+    rows = sizes.select("source", share.alias("share"), F.floor(share).alias("whole"))
+    left = F.lit(period) - F.sum("whole").over(one)
     nth = F.row_number().over(one.orderBy(F.round(F.col("whole") - F.col("share"), 9), F.col("source").asc_nulls_first()))
-    return rows.where("_ok is null").select("source", (1 + F.col("whole") + F.when(nth <= left, 1).otherwise(0)).cast("long").alias("units"))
+    units = (F.col("whole") + F.when(nth <= left, 1).otherwise(0)).cast("long")
+    rows = rows.select("source", units.alias("units"))
+    return rows.select("source", F.when(F.col("units") > 0, F.col("units")).otherwise(F.raise_error(F.lit("a source without a time slot")).cast("long")).alias("units"))
 
 
 def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
     """(source, j, at): the time slot of each source's j-th block inside one period, earliest deadline first.
 
-    The state is the number of blocks each source has had; each slot picks, among sources whose next
-    block is released, the earliest deadline (ties: first name). `period` steps over a row per source.
+    Each slot picks, among sources whose next block is released, the earliest deadline (ties: first name).
+    Only sources and units come to the driver, where two heaps take `period` steps; no rows do.
     """
-    srcs = weights.agg(F.sort_array(F.collect_list(F.struct("source", "units"))).alias("s"))
-    start = srcs.select("s", F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("had"), F.array().cast("array<int>").alias("picks")).alias("st"))
-
-    def step(st: Column, t: Column) -> Column:
-        due = F.transform(F.col("s"), lambda x, k: F.struct(
-            F.when(F.floor(F.get(st["had"], k) * period / x["units"]) <= t, F.ceil((F.get(st["had"], k) + 1) * period / x["units"])).otherwise(F.lit(1 << 60)).alias("d"), k.alias("k")))
-        pick = F.array_min(due)["k"]
-        return F.struct(F.transform(st["had"], lambda h, k: h + F.when(k == pick, 1).otherwise(0)).alias("had"), F.concat(st["picks"], F.array(pick)).alias("picks"))
-
-    ran = start.select("s", F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), F.col("st"), step)["picks"].alias("picks"))
-    each = ran.select("s", F.posexplode("picks").alias("at", "k")).select(F.get(F.col("s"), F.col("k"))["source"].alias("source"), "at")
-    return each.withColumn("j", F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1)
+    rows = weights.orderBy(F.col("source").asc_nulls_first()).collect()
+    units, had = [r["units"] for r in rows], [0] * len(rows)
+    waiting, ready, picks, nth = [(0, k) for k in range(len(rows))], [], array("q"), array("q")  # equal times in order of k: a heap
+    for t in range(period if rows else 0):
+        while waiting and waiting[0][0] <= t:
+            k = heappop(waiting)[1]
+            heappush(ready, (-(-(had[k] + 1) * period // units[k]), k))
+        k = heappop(ready)[1]
+        picks.append(k)
+        nth.append(had[k])
+        had[k] += 1
+        heappush(waiting, (had[k] * period // units[k], k))
+    names = pa.array([r["source"] for r in rows], pa.string())
+    plan = pa.table({"source": names.take(pa.array(picks, pa.int64())), "j": pa.array(nth, pa.int64()), "at": pa.array(range(len(picks)), pa.int64())})
+    return weights.sparkSession.createDataFrame(plan)
 
 
 def mix_order(docs: DataFrame, power: float = 0.5, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
@@ -73,6 +88,7 @@ def mix_order(docs: DataFrame, power: float = 0.5, block_rows: int = BLOCK_ROWS,
     """
     slim = docs.select("doc_id", "source", scatter(F.col("doc_id")).alias("h"))
     sizes = materialize(docs.groupBy("source").agg(F.count("*").alias("n")), "source-sizes")
+    period = period_for(sizes, power, period)
     weights = materialize(source_weights(sizes, power, period), "mix-weights")
     # ranges of the scattered id: as many as the largest source needs
     width = F.greatest(F.lit(1), F.floor(F.lit(1 << 32) * F.lit(BUCKET_ROWS) / F.greatest(F.max("n"), F.lit(1)))).alias("width")
@@ -87,11 +103,11 @@ def mix_order(docs: DataFrame, power: float = 0.5, block_rows: int = BLOCK_ROWS,
     rows = rows.select("doc_id", "source", F.floor(F.col("pos") / block_rows).alias("block"), (F.col("pos") % block_rows).alias("in_block"))
     plan = materialize(schedule(weights, period), "mix-plan")
     plan = plan.join(weights, plan["source"].eqNullSafe(weights["source"])).select(plan["source"].alias("s"), "j", "at", "units")
-    units = F.broadcast(weights.select(F.col("source").alias("s0"), F.col("units").alias("u0")))
+    units = checked_broadcast(weights.select(F.col("source").alias("s0"), F.col("units").alias("u0")), 128)
     rows = rows.join(units, F.col("source").eqNullSafe(F.col("s0")))
     hit = rows["source"].eqNullSafe(F.col("s")) & (F.pmod(rows["block"], F.col("u0")) == F.col("j"))
-    # plan has `period` rows, weights at most as many
-    return rows.join(F.broadcast(plan), hit).select(
+    # plan has `period` rows
+    return rows.join(checked_broadcast(plan, 128), hit).select(
         "doc_id", "source", "block", (F.floor(F.col("block") / F.col("units")) * period + F.col("at")).alias("time_slot"), "in_block", "units"
     )
 

@@ -269,3 +269,31 @@ def test_clean_rows_of_a_contaminated_id_stay(spark):
     docs = spark.createDataFrame([(None, item), (None, clean[0]), (None, None), (1, item), (1, clean[1]), (2, clean[2])], "doc_id long, text string")
     kept = decontamination.uncontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert _found(kept, "doc_id", "text") == Counter([(None, clean[0]), (None, None), (1, clean[1]), (2, clean[2])])
+
+
+def test_mixing_more_sources_than_a_period(spark):
+    many = spark.range(1500 + 4096).selectExpr("id AS doc_id", "CASE WHEN id < 1500 THEN concat('s', id) ELSE 'big' END AS source")
+    got = mixing.mix_order(many, block_rows=2).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(1500 + 4096))
+    units = {r["source"]: r["units"] for r in got}
+    period = sum(units.values())
+    assert len(units) == 1501 and abs(units["big"] / period - 64 / (1500 + 64)) < 1 / period + 1e-9  # square roots of 4096 and 1
+    blocks = {}
+    for r in got:
+        assert blocks.setdefault(r["time_slot"], r["source"]) == r["source"]
+    had = Counter()
+    for t in range(max(blocks) + 1):
+        had[blocks.get(t)] += 1
+        if t < period:
+            assert abs(had["big"] - (t + 1) * units["big"] / period) < 1
+
+
+def test_schedule_keeps_every_source_to_its_target(spark):
+    rng = random.Random(4)
+    units = {f"s{i}": rng.choice([1, 1, 2, 3, 50]) for i in range(1200)}
+    period = sum(units.values())
+    got = mixing.schedule(spark.createDataFrame(list(units.items()), "source string, units long"), period).collect()
+    assert sorted(r["at"] for r in got) == list(range(period))
+    for r in got:  # block j between its release and its deadline
+        u = units[r["source"]]
+        assert r["j"] * period // u <= r["at"] < -(-(r["j"] + 1) * period // u)
