@@ -297,3 +297,14 @@ def test_schedule_keeps_every_source_to_its_target(spark):
     for r in got:  # block j between its release and its deadline
         u = units[r["source"]]
         assert r["j"] * period // u <= r["at"] < -(-(r["j"] + 1) * period // u)
+
+
+def test_texts_longer_than_a_block(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for i in range(0, 24, 2):
+        w = [f"g{i}x{rng.randrange(10**6)}" for _ in range(150)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join([*w[:-1], "other"]))]
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 100)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(i, i - i % 2, 1) for i in range(24)}
