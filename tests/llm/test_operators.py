@@ -308,3 +308,14 @@ def test_texts_longer_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 100)
     got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(i, i - i % 2, 1) for i in range(24)}
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    forms = ['<a href="http://{}/">', "<a href='//{}/x'>", "<a href=http://{}/a>", "<a HREF = //{}>"]
+    hosts = ["a.net", *(f"c{i}.io" for i in range(12))]
+    rows = [(0, "http://a.net/", None)] + [(i, f"http://{hosts[i]}/", forms[i % 4].format(hosts[i - 1])) for i in range(1, 13)]
+    rows += [(100 + i, f"http://lone{i}.io/", '<a href="/go?to=http://a.net/">') for i in range(60)]
+    got = {r["page_id"]: r for r in url_filters.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    total = sum(0.85**i for i in range(13))
+    assert all(got[i]["distrust"] == pytest.approx(0.85**i / total, rel=1e-4) and got[i]["verdict"] == "block" for i in range(13))
+    assert all(got[100 + i]["distrust"] == 0 and got[100 + i]["verdict"] == "allow" for i in range(60))
