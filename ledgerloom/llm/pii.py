@@ -1,15 +1,16 @@
 """Personal data: pattern spans, and terms whose corpus co-occurrence gives a protected entity away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Every value is a protected entity
-with information content IC = log(N / df). A term from the words around its mentions discloses
+with information content IC = log(N / df). A term anywhere in the documents that hold it discloses
 PMI = log(N * joint / (df_entity * df_term)) of it. Where PMI reaches ALPHA * IC over enough different
-contexts, the term is generalised there; from BETA * IC on it is removed.
+contexts, every occurrence of the term in those documents is generalised; from BETA * IC on it is removed.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +24,7 @@ from .common import checked_broadcast, materialize, small_batches
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Shares of an entity's information from which a term is generalised, and removed.
 ALPHA, BETA = 0.75, 0.95
-#: Different contexts an association needs, so that copies of one text prove nothing; words of context on each side.
+#: Different contexts of the entity an association needs, so that copies of one text prove nothing; words of context on each side.
 SUPPORT, AROUND = 3, 8
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -67,29 +68,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """The words around each entity that no span covers: entity, a hash of the context, term, start, end."""
-    out = []
+def _entities(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[dict], list[dict]]:
+    """The mentions (entity, a hash of the words around it), and the distinct words of the whole text with their places; words that a span touches are left out."""
+    covered, top = [], -1
+    for a, _, z in spans:  # sorted by start: join what overlaps
+        if a < top:
+            covered[-1][1] = top = max(top, z)
+        else:
+            covered.append([a, z])
+            top = z
+    free, k = [], 0
+    for m in _TERM.finditer(text):
+        while k < len(covered) and covered[k][1] <= m.start():
+            k += 1
+        if k == len(covered) or covered[k][0] >= m.end():
+            free.append((m[0].lower(), m.start(), m.end()))
+    starts, out, places = [f[1] for f in free], [], {}
     for start, kind, end in spans:
         value = text[start:end].lower() if kind == 0 else "".join(_DIGITS.findall(text[start:end])) if kind > 1 else text[start:end]
-        low = max(0, start - 40 * AROUND)
-        before = [m for m in _TERM.finditer(text, low, start) if m.start() > low or low == 0][-AROUND:]
-        after = []
-        for m in _TERM.finditer(text, end):
-            after.append(m)
-            if len(after) == AROUND:
-                break
-        found = [(m[0].lower(), m.start(), m.end()) for m in [*before, *after] if not any(a < m.end() and m.start() < z for a, _, z in spans)]
-        ctx = int.from_bytes(hashlib.blake2b(" ".join(t for t, _, _ in found).encode(), digest_size=8).digest(), "big", signed=True)
-        out += [{"entity": f"{KINDS[kind]}:{value}", "ctx": ctx, "term": t, "start": a, "end": z} for t, a, z in found]
-    return out
+        at, to = bisect_left(starts, start), bisect_left(starts, end)
+        ctx = " ".join(t for t, _, _ in [*free[max(0, at - AROUND) : at], *free[to : to + AROUND]])
+        out.append({"entity": f"{KINDS[kind]}:{value}", "ctx": int.from_bytes(hashlib.blake2b(ctx.encode(), digest_size=8).digest(), "big", signed=True)})
+    for t, a, z in free:
+        places.setdefault(t, []).append({"start": a, "end": z})
+    return out, [{"term": t, "at": at} for t, at in places.items()]
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
-_FOUND = f"base {_SPANS}, mentions array<struct<entity:string,ctx:long,term:string,start:int,end:int>>"
+_FOUND = f"base {_SPANS}, mentions array<struct<entity:string,ctx:long>>, words array<struct<term:string,at:array<struct<start:int,end:int>>>>"
 _TYPES = (
     pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])),
-    pa.list_(pa.struct([("entity", pa.string()), ("ctx", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])),
+    pa.list_(pa.struct([("entity", pa.string()), ("ctx", pa.int64())])),
+    pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])),
 )
 
 
@@ -97,26 +107,37 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or "" for t in batch.column(2).to_pylist()]
         spans = [base_spans(t) for t in texts]
-        around = [_contexts(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
+        both = [_entities(t, s) if s else ([], []) for t, s in zip(texts, spans, strict=True)]
         base = [[{"start": a, "kind": k, "end": z} for a, k, z in s] for s in spans]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, _TYPES[0]), pa.array(around, _TYPES[1])], ["doc_id", "th", "base", "mentions"])
+        cols = [pa.array(base, _TYPES[0]), pa.array([m for m, _ in both], _TYPES[1]), pa.array([w for _, w in both], _TYPES[2])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "th", "base", "mentions", "words"])
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(entity, term, disclosure): terms that disclose at least alpha of an entity's information content.
 
-    Document frequencies count all of docs; joint counts documents whose mention of the entity has the
-    term around it. Counts combine before every shuffle, so a frequent entity or word is no single task's work.
+    Document frequencies count all of docs; joint counts documents that hold the entity and, anywhere, the
+    term. An entity with fewer contexts than support has no pair with enough, so its pairs are not made; nor
+    are those whose term is so frequent that even with every document of the entity it discloses less than alpha.
+    Counts combine before every shuffle, so a frequent entity or word is no single task's work.
     """
-    said = found.select("doc_id", "th", F.explode("mentions").alias("m")).select("doc_id", "th", "m.entity", "m.ctx", "m.term")
+    said = found.where(F.size("mentions") > 0).select("doc_id", "th", F.explode("mentions").alias("m")).select("doc_id", "th", "m.entity", "m.ctx").distinct()
     n = docs.count()
-    df = said.select("doc_id", "th", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    contexts = said.select("entity", "term", "ctx").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    joint = said.select("doc_id", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("joint"))
-    likely = materialize(contexts.join(joint, ["entity", "term"]).join(df, "entity"), "likely-terms")
-    terms = likely.select("term").distinct()
+    df = said.groupBy("entity").agg(F.count_distinct("ctx").alias("seen"), F.count_distinct("doc_id", "th").alias("df_entity")).where(F.col("seen") >= support)
+    said = materialize(said.join(df, "entity").select("doc_id", "th", "entity", "ctx", "df_entity"), "supported-mentions")
+    held = F.transform("words", lambda w: w["term"])
+    has = found.where(F.size("words") > 0).select("doc_id", "th", held.alias("has")).join(said.select("doc_id", "th").distinct(), ["doc_id", "th"], "left_semi")
+    has = materialize(has.select("doc_id", "th", F.explode("has").alias("term")).distinct(), "entity-words")
+    terms = materialize(has.select("term").distinct(), "entity-terms")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{3,}"), F.lit(0)))
     counted = docs.select(F.explode_outer(words).alias("term")).join(checked_broadcast(terms, 64), "term").groupBy("term").agg(F.count("*").alias("df_term"))
+    counted = materialize(counted, "term-counts")
+    # joint <= df_entity, so disclosure >= alpha needs log(n / df_term) >= alpha * log(n / df_entity)
+    rare = F.log(F.lit(n) / F.coalesce("df_term", F.lit(1))) >= F.lit(alpha) * F.log(F.lit(n) / F.col("df_entity")) - 1e-9
+    pairs = materialize(has.join(counted, "term", "left").join(said, ["doc_id", "th"]).where(rare).select("doc_id", "th", "entity", "term", "ctx"), "pairs")
+    contexts = pairs.select("entity", "term", "ctx").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
+    joint = pairs.select("doc_id", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("joint"))
+    likely = contexts.join(joint, ["entity", "term"]).join(df.select("entity", "df_entity"), "entity")
     both = likely.join(counted, "term", "left").withColumn("df_term", F.greatest("joint", F.coalesce("df_term", F.lit(0))))
     pmi, ic = F.log(n * F.col("joint") / (F.col("df_entity") * F.col("df_term"))), F.log(F.lit(n) / F.col("df_entity"))
     return both.where(F.col("df_entity") < n).select("entity", "term", (pmi / ic).alias("disclosure")).where(F.col("disclosure") >= alpha)
@@ -134,9 +155,13 @@ def personal_data(docs: DataFrame, alpha: float = ALPHA, beta: float = BETA, sup
     rows = docs.select(key.alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     found = materialize(rows.mapInArrow(_found, f"doc_id long, th long, {_FOUND}"), "pattern-spans")
     reveal = materialize(disclosing_terms(found, docs, alpha, support), "disclosing-terms")
-    said = found.where(F.size("mentions") > 0).select("doc_id", "th", F.explode("mentions").alias("m")).select("doc_id", "th", "m.entity", "m.term", "m.start", "m.end")
+    held = found.where(F.size("mentions") > 0)
+    by_text = held.select("doc_id", "th", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity")).distinct()
+    top = by_text.join(reveal, "entity").groupBy("doc_id", "th", "term").agg(F.max("disclosure").alias("disclosure"))
+    places = held.join(top.select("doc_id", "th").distinct(), ["doc_id", "th"], "left_semi").select("doc_id", "th", F.explode("words").alias("w"))
+    places = places.select("doc_id", "th", "w.term", F.explode("w.at").alias("x")).select("doc_id", "th", "term", "x.start", "x.end")
     action = F.when(F.col("disclosure") >= beta, "remove").otherwise("generalise")
-    marks = said.join(reveal, ["entity", "term"]).groupBy("doc_id", "th", "start", "end").agg(F.max(action).alias("action"))
+    marks = places.join(top, ["doc_id", "th", "term"]).groupBy("doc_id", "th", "start", "end").agg(F.max(action).alias("action"))
     span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", "action")
     marks = marks.groupBy("doc_id", "th").agg(F.collect_list(span).alias("terms"))
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit("mask").alias("action")))

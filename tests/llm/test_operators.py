@@ -319,3 +319,13 @@ def test_distrust_reaches_the_end_of_a_long_chain(spark):
     total = sum(0.85**i for i in range(13))
     assert all(got[i]["distrust"] == pytest.approx(0.85**i / total, rel=1e-4) and got[i]["verdict"] == "block" for i in range(13))
     assert all(got[100 + i]["distrust"] == 0 and got[100 + i]["verdict"] == "allow" for i in range(60))
+
+
+def test_terms_far_from_their_entity(spark):
+    rng = random.Random(6)
+    told = [(i, f"Zorblax {_plain(rng, 40)} z@secret.example.org {_plain(rng, 40)} Zorblax") for i in range(6)]
+    rest = [(10 + i, _plain(rng, 30)) for i in range(300)]
+    docs = spark.createDataFrame(told + rest, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all("Zorblax" not in clean[i] and "[EMAIL]" in clean[i] for i, _ in told)
+    assert all(clean[i] == t for i, t in rest)
