@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +20,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests, one machine) a folder of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Without one, only a local master, which is one machine, gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        own = f"file://{tempfile.mkdtemp(prefix='corpus-')}"
-        spark.conf.set("spark.checkpoint.dir", own)
-        return own
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir()
+
+
+@cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='corpus-')}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -43,12 +47,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted size is within limit; otherwise df, and Spark shuffles the join.
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its measured size is within limit; otherwise df, and Spark shuffles the join.
 
-    df should be cheap to count: a materialized or bounded table.
+    Rows are counted first, at 16 bytes each, the least a row takes; if they may fit, the bytes of their values are summed too.
+    df should be cheap to read twice: a materialized or bounded table.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    if df.count() * 16 > limit:
+        return df
+    size = df.agg(F.sum(16 * len(df.columns) + F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).alias("s")).first()["s"] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
+def renamed(name: str, *tables: DataFrame) -> str:
+    """name, or name with underscores, so that no column of the tables clashes with it, whatever its case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def lower_ascii(text: Column) -> Column:

@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tasks = inside.unionByName(pair.select("m.rep", F.lit(None).cast("long").alias("home"), F.col("a").alias("bi"), F.col("b").alias("bj"), "m.side"))
     tasks = tasks.withColumn("home", F.coalesce("home", F.lit(-(1 << 63))))
     tasks = materialize(tasks.groupBy("rep").agg(F.collect_list(F.struct("home", "bi", "bj", "side")).alias("t")), "tasks")
-    texts = named.join(checked_broadcast(tasks, 120), named["doc_id"] == tasks["rep"])
+    texts = named.join(checked_broadcast(tasks), named["doc_id"] == tasks["rep"])
     cells = texts.select("rep", "text", F.explode("t").alias("t")).select("rep", "text", "t.home", "t.bi", "t.bj", "t.side")
     cells = cells.repartition("home", "bi", "bj").sortWithinPartitions("home", "bi", "bj")
     found = materialize(cells.mapInPandas(_each_group, _LINKS), "links")
@@ -300,7 +300,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     repeat the whole row.
     """
     groups = materialize(near_duplicates(docs), "near-duplicates")
-    gone = checked_broadcast(materialize(groups.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies"), 16)
+    gone = checked_broadcast(materialize(groups.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies"))
     kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
     twice = groups.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
     twice = materialize(twice, "repeated-ids")

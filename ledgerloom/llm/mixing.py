@@ -103,11 +103,11 @@ def mix_order(docs: DataFrame, power: float = 0.5, block_rows: int = BLOCK_ROWS,
     rows = rows.select("doc_id", "source", F.floor(F.col("pos") / block_rows).alias("block"), (F.col("pos") % block_rows).alias("in_block"))
     plan = materialize(schedule(weights, period), "mix-plan")
     plan = plan.join(weights, plan["source"].eqNullSafe(weights["source"])).select(plan["source"].alias("s"), "j", "at", "units")
-    units = checked_broadcast(weights.select(F.col("source").alias("s0"), F.col("units").alias("u0")), 128)
+    units = checked_broadcast(weights.select(F.col("source").alias("s0"), F.col("units").alias("u0")))
     rows = rows.join(units, F.col("source").eqNullSafe(F.col("s0")))
     hit = rows["source"].eqNullSafe(F.col("s")) & (F.pmod(rows["block"], F.col("u0")) == F.col("j"))
     # plan has `period` rows
-    return rows.join(checked_broadcast(plan, 128), hit).select(
+    return rows.join(checked_broadcast(plan), hit).select(
         "doc_id", "source", "block", (F.floor(F.col("block") / F.col("units")) * period + F.col("at")).alias("time_slot"), "in_block", "units"
     )
 
@@ -120,5 +120,5 @@ def mixed(docs: DataFrame, power: float = 0.5) -> DataFrame:
     at = F.min(F.col("time_slot") * BLOCK_ROWS + F.col("in_block")).alias("_at")
     places = materialize(mix_order(docs, power).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src")).agg(at), "mix-places")
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_src"))
-    out = docs.join(checked_broadcast(places, 64), same).drop("_id", "_src")
+    out = docs.join(checked_broadcast(places), same).drop("_id", "_src")
     return out.repartitionByRange("_at").sortWithinPartitions("_at").drop("_at")

@@ -130,7 +130,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, su
     has = materialize(has.select("doc_id", "th", F.explode("has").alias("term")).distinct(), "entity-words")
     terms = materialize(has.select("term").distinct(), "entity-terms")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{3,}"), F.lit(0)))
-    counted = docs.select(F.explode_outer(words).alias("term")).join(checked_broadcast(terms, 64), "term").groupBy("term").agg(F.count("*").alias("df_term"))
+    counted = docs.select(F.explode_outer(words).alias("term")).join(checked_broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df_term"))
     counted = materialize(counted, "term-counts")
     # joint <= df_entity, so disclosure >= alpha needs log(n / df_term) >= alpha * log(n / df_entity)
     rare = F.log(F.lit(n) / F.coalesce("df_term", F.lit(1))) >= F.lit(alpha) * F.log(F.lit(n) / F.col("df_entity")) - 1e-9
@@ -199,7 +199,7 @@ def _sanitised(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with its own columns, its texts masked, generalised or shortened at the found spans. Null texts stay null."""
     spans = personal_data(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("found").alias("_found")).distinct()
-    spans = checked_broadcast(materialize(spans, "spans"), 400)
+    spans = checked_broadcast(materialize(spans, "spans"))
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_th"))
     clean = F.pandas_udf(_sanitised, "string")
     return docs.join(spans, same, "left").withColumn("text", clean("text", "_found")).select(*docs.columns)

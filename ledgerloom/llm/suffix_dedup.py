@@ -175,7 +175,7 @@ def _with_spans(rows: DataFrame, classes: DataFrame, undecided: DataFrame, rank:
     """The texts that hold one row of each class of an undecided rank, with those rows as spans."""
     span = F.struct("r.lo", "r.hi", *[f"r.{m}" for m in more], ((F.col("c") == 1) & F.col("solo")).alias("solo"))
     todo = classes.join(undecided, rank).groupBy("r.doc_id", "r.th").agg(F.collect_list(span).alias("spans"))
-    todo = checked_broadcast(materialize(todo, "suffix-open"), 400)
+    todo = checked_broadcast(materialize(todo, "suffix-open"))
     texts = rows.alias("d").join(todo.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.th") == F.col("t.th")))
     return texts.select("d.doc_id", "d.th", "d.text", "t.spans")
 
@@ -240,7 +240,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     rows = docs.select("doc_id", key.alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     spans = _merged(repeated_windows(rows.where(F.octet_length("text") >= LENGTH).select(F.col("k").alias("doc_id"), "th", "text")))
-    spans = checked_broadcast(materialize(spans.withColumnsRenamed({"doc_id": "k"}), "repeats"), 100)
+    spans = checked_broadcast(materialize(spans.withColumnsRenamed({"doc_id": "k"}), "repeats"))
     both = rows.join(spans, ["k", "th"], "left")
     digest = F.pandas_udf(_digests, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     kept = [F.pandas_udf(_remaining, "string")("text", "spans").alias("kept")] if with_text else []

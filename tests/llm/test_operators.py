@@ -211,8 +211,19 @@ def test_decontamination(spark, docs, rows):
     assert _found(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
     bad = {w[0] for w in want if w[-1]}
     assert {r["doc_id"] for r in decontamination.uncontaminated(docs, bench).collect()} == {r[0] for r in rows} - bad
-    near = decontamination.near_phrases(docs.where("doc_id = 4"), spark.createDataFrame([("one", "three")], "t1 string, t2 string"), 3).collect()
-    assert [(r["doc_id"], r["p1"], r["p2"]) for r in near] == [(4, 0, 2)]
+
+
+def test_proximity_matches(spark):
+    rng = random.Random(11)
+    texts = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 3, 400])))) for i in range(12)] + [(None, "a b a"), (3, "b a")]
+    docs = spark.createDataFrame([*texts, texts[0]], "doc_id long, text string")
+    idx = decontamination.index(docs, spark.createDataFrame([("a",), ("b",), ("c",)], "term string"))
+    got = decontamination.near_phrases(idx, spark.createDataFrame([("a", "b"), ("a", "c")], "t1 string, t2 string"), 4)
+    want = Counter()
+    for i, t in set(texts):
+        w = t.split()
+        want.update((x, y, i, p, q) for x, y in (("a", "b"), ("a", "c")) for p in range(len(w)) for q in range(max(0, p - 4), min(len(w), p + 5)) if w[p] == x and w[q] == y)
+    assert _found(got, "t1", "t2", "doc_id", "p1", "p2") == want
 
 
 def test_repeats(docs, rows):
