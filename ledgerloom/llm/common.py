@@ -67,6 +67,19 @@ def renamed(name: str, *tables: DataFrame) -> str:
     return name
 
 
+def one_row_each(counted: DataFrame, n: str, nth: str, chunk: int = 100_000) -> DataFrame:
+    """counted with each row repeated column n times and nth counting from 0 in place of n. Large counts spread over tasks."""
+    part = renamed("part", counted)
+    pieces = counted.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / chunk)))).repartition(*counted.columns, part)
+    last = F.least(F.col(n), (F.col(part) + 1) * chunk) - 1
+    return pieces.withColumn(nth, F.explode(F.sequence(F.col(part) * chunk, last))).drop(n, part)
+
+
+def text_key(doc_id: Column, text: Column) -> Column:
+    """A hash that with doc_id names a row: rows of one id differ by their texts, and a missing id differs from id 0."""
+    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; plain lower() where the text is ASCII, which is the same and faster."""
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize
+from .common import checked_broadcast, materialize, text_key
 
 #: ASCII characters that are no part of a word; A-Z are lower-cased in the same pass, other characters are word characters.
 _BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -26,11 +26,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def text_key(doc_id: Column, text: Column) -> Column:
-    """A hash that with doc_id names a row: rows of one id differ by their texts, and a missing id differs from id 0."""
-    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
-
-
 def windows(benchmark: DataFrame, size: int = 13) -> DataFrame:
     """(item_id, win_id, win, n): the distinct windows of each item; an item shorter than size, but not empty, is one window."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)

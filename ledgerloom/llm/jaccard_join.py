@@ -1,7 +1,7 @@
 """Near-duplicate documents: all links of Jaccard similarity >= 0.8 on five-word shingles, with Bayesian pruning.
 
-Texts with equal shingle sets form one class, and only one representative of each goes on. MinHash bands
-bring likely pairs together. A representative's home is the least representative it meets in its bands,
+Texts with equal shingle sets form one class, named by the 128-bit hash of the set, whatever their ids; only one text of each
+goes on. MinHash bands bring likely pairs together. A representative's home is the least representative it meets in its bands,
 so a group of near copies has one home; pairs inside a home and the few across homes are compared.
 MinHash values are compared a few at a time, and a pair is dropped once the posterior probability that it
 reaches the threshold falls below a tolerance. The rest is verified exactly.
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize, small_batches
+from .common import checked_broadcast, materialize, small_batches, text_key
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands of rows: a pair at the threshold shares a band with probability 0.99995.
@@ -92,14 +92,14 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return tuple(out)
 
 
-_SKETCH = "doc_id long, n_sh long, set1 long, set2 long, bands array<long>"
+_SKETCH = "doc_id long, th long, n_sh long, s1 long, s2 long, bands array<long>"
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = _MIX[:ROWS]
     for batch in batches:
         sizes, ones, twos, bands = [], [], [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             s = shingles(text.as_py())
             sizes.append(len(s))
             key = xxhash.xxh128_intdigest(s.tobytes())
@@ -109,7 +109,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands.append(_mixed(_mixed(rows * powers).sum(axis=1, dtype=np.uint64)) if len(s) else None)
         longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         lists = pa.array([None if b is None else b.view(np.int64) for b in bands], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), longs(ones), longs(twos), lists], ["doc_id", "n_sh", "set1", "set2", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), longs(ones), longs(twos), lists], ["doc_id", "th", "n_sh", "s1", "s2", "bands"])
 
 
 def _pairs(sigs: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_sizes: np.ndarray, upper: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +168,8 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 _LINKS = "rep long, n_links long, low long"
+#: A task is a home and two of its blocks, or ACROSS and two texts of different homes.
+_TASK, ACROSS = ["home", "bi", "bj"], -1
 
 
 def _compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -192,12 +194,12 @@ def _compare(group: pd.DataFrame) -> pd.DataFrame:
 
 def _each_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """_compare for each run of equal keys of a sorted partition; the last run of a batch waits for the next batch."""
-    keys, held = ["home", "bi", "bj"], []
+    held = []
     for pdf in batches:
         if not len(pdf):
             continue
-        new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
-        new[0] = bool(held) and not (held[-1][keys].iloc[-1] == pdf[keys].iloc[0]).all()
+        new = (pdf[_TASK] != pdf[_TASK].shift()).any(axis=1).to_numpy()
+        new[0] = bool(held) and not (held[-1][_TASK].iloc[-1] == pdf[_TASK].iloc[0]).all()
         cuts = np.flatnonzero(new)
         done = []
         for start, end in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
@@ -250,61 +252,78 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_class, class_id, n_links; one row per input row.
-
-    text_class: the least doc_id of the documents with the same shingle set. class_id: the least doc_id
-    of the documents connected through links of similarity >= 0.8. n_links: how many other text classes
-    this one is linked to. Texts without words (null, empty, blank) have no shingles and stand alone.
-    Repeated rows share a class; of several texts under one id, one stands for the id in links. A row
-    without an id stands alone with null classes. An empty table gives an empty result.
-    """
+def _with_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, th, class_hash, n_links, text_class, class_id) per row; class_hash is null without words."""
     small_batches(docs.sparkSession)
-    slim = docs.select("doc_id", "text")
-    named = slim.where("doc_id is not null")
-    sketches = materialize(named.mapInArrow(_sketches, _SKETCH), "sketches")
-    least = sketches.where("n_sh > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"))
-    member = sketches.drop("bands").join(least, ["set1", "set2"], "left")
-    member = materialize(member.select("doc_id", "n_sh", F.when(F.col("n_sh") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"), (F.col("n_sh") > 0).alias("has")), "members")
-    reps = sketches.join(member.where("has and doc_id = rep").select("doc_id", "n_sh").distinct(), ["doc_id", "n_sh"], "left_semi").where("n_sh > 0")
-    reps = reps.groupBy(F.col("doc_id").alias("rep")).agg(F.min_by("bands", F.struct("set1", "set2")).alias("bands"))
-    homes, buckets = _homes(reps)
-    size = member.where("has and doc_id = rep").groupBy("rep").agg(F.max("n_sh").alias("n_sh"))
-    layout = homes.join(size, "rep")
+    key = F.coalesce("doc_id", F.lit(0).cast("long")).alias("key")
+    slim = docs.select("doc_id", text_key(F.col("doc_id"), F.col("text")).alias("th"), "text")
+    sketches = materialize(slim.mapInArrow(_sketches, _SKETCH).select("doc_id", key, "th", "n_sh", "s1", "s2", "bands"), "sketches")
+    # one row stands for each set, under a number: its text is compared, its bands and size are those of all
+    reps = sketches.where("n_sh > 0").groupBy("s1", "s2").agg(
+        F.min(F.struct("key", "th")).alias("row"), F.count("*").alias("rows"), F.min("doc_id").alias("text_class"), F.max("n_sh").alias("n_sh"), F.any_value("bands").alias("bands")
+    )
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("rep"), "*"), "shingle-sets")
+    homes, buckets = _homes(reps.select("rep", "bands"))
+    layout = homes.join(reps.select("rep", "n_sh"), "rep")
     blocks = layout.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_sh") / BLOCK_SHINGLES)).alias("nb"))
     layout = layout.join(blocks, "home").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")))
     # block k meets itself and every other block; the lower of the two is side 0
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("o")
     inside = layout.select("rep", "home", "blk", others).select("rep", "home", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), F.when(F.col("blk") > F.col("o"), 1).otherwise(0).alias("side"))
     across = materialize(_across(homes, buckets), "across")
-    pair = across.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.lit(0).alias("side")), F.struct(F.col("b").alias("rep"), F.lit(1).alias("side")))).alias("m"), "a", "b")
-    tasks = inside.unionByName(pair.select("m.rep", F.lit(None).cast("long").alias("home"), F.col("a").alias("bi"), F.col("b").alias("bj"), "m.side"))
-    tasks = tasks.withColumn("home", F.coalesce("home", F.lit(-(1 << 63))))
-    tasks = materialize(tasks.groupBy("rep").agg(F.collect_list(F.struct("home", "bi", "bj", "side")).alias("t")), "tasks")
-    texts = named.join(checked_broadcast(tasks), named["doc_id"] == tasks["rep"])
-    cells = texts.select("rep", "text", F.explode("t").alias("t")).select("rep", "text", "t.home", "t.bi", "t.bj", "t.side")
-    cells = cells.repartition("home", "bi", "bj").sortWithinPartitions("home", "bi", "bj")
+    sides = F.explode(F.array(F.struct(F.col("a").alias("rep"), F.lit(0).alias("side")), F.struct(F.col("b").alias("rep"), F.lit(1).alias("side")))).alias("m")
+    pair = across.select("a", "b", sides).select("m.rep", F.lit(ACROSS).cast("long").alias("home"), F.col("a").alias("bi"), F.col("b").alias("bj"), "m.side")
+    tasks = inside.unionByName(pair).groupBy("rep").agg(F.collect_list(F.struct(*_TASK, "side")).alias("tasks"))
+    tasks = materialize(tasks.join(reps.select("rep", "row"), "rep").select("rep", "row.key", "row.th", "tasks"), "tasks")
+    texts = slim.select(key, "th", "text").join(checked_broadcast(tasks), ["key", "th"])
+    cells = texts.select("rep", "text", F.explode("tasks").alias("t")).select("rep", "text", *[f"t.{c}" for c in (*_TASK, "side")])
+    cells = cells.repartition(*_TASK).sortWithinPartitions(*_TASK)
     found = materialize(cells.mapInPandas(_each_group, _LINKS), "links")
-    classes = connected(found.select("rep", "low"))
-    counts = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-    known = counts.join(classes, "rep", "left")
-    out = member.join(known, "rep", "left").select("doc_id", F.col("rep").alias("text_class"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    no_id = slim.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("text_class"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(no_id)
+    known = found.groupBy("rep").agg(F.sum("n_links").alias("n_links")).join(connected(found.select("rep", "low")).withColumnRenamed("class_id", "label"), "rep")
+    # sets of one row and no link are their own class and need no join
+    sets = reps.select("rep", "s1", "s2", "rows", "text_class").join(known, "rep", "left").where("rows > 1 or label is not null").withColumn("label", F.coalesce("label", "rep"))
+    sets = materialize(sets, "classes")
+    least = sets.groupBy("label").agg(F.min("text_class").alias("class_id"), F.min(F.struct("s1", "s2")).alias("least"))
+    sets = sets.join(least, "label").select("s1", "s2", "n_links", "text_class", "class_id", "least")
+    out = sketches.select("doc_id", "key", "th", "n_sh", "s1", "s2").join(sets, ["s1", "s2"], "left")
+    own, name = F.col("least").isNull(), lambda c: F.lpad(F.hex(c), 16, "0")
+    return out.select(
+        "doc_id", "key", "th", F.when(F.col("n_sh") > 0, F.concat(name(F.coalesce("least.s1", "s1")), name(F.coalesce("least.s2", "s2")))).alias("class_hash"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(own, F.col("doc_id")).otherwise(F.col("text_class")).alias("text_class"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, text_class, class_id, n_links, class_hash; one row per input row.
+
+    text_class: the least doc_id of the rows with the same shingle set. class_id: the least doc_id of the rows
+    connected through links of similarity >= 0.8. n_links: how many other text classes this one is linked to.
+    class_hash names the class even where several share a least id, as when an id repeats with different texts, or have none.
+    Rows count by text, not by id: repeated rows share a class, an id's different texts are each in their own, and a row without
+    an id is in its text's class. Texts without words (null, empty, blank) have no shingles and stand alone,
+    with class_id doc_id and no class_hash. An empty table gives an empty result.
+    """
+    return _with_classes(docs).select("doc_id", "text_class", "class_id", "n_links", "class_hash")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with its own columns and, of each class of near duplicates, only the row with the least doc_id.
+    """docs with its own columns and one row of each class of near duplicates: the least doc_id's (an id before none, ties by text hash).
 
-    Rows without words or without an id all stay. Rows that repeat the surviving id stay once if they
-    repeat the whole row.
+    Rows without words all stay. Of rows that repeat the surviving id and text, the one whose columns have the least hash stays.
     """
-    groups = materialize(near_duplicates(docs), "near-duplicates")
-    gone = checked_broadcast(materialize(groups.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies"))
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    twice = groups.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
-    twice = materialize(twice, "repeated-ids")
+    groups = materialize(_with_classes(docs).where("class_hash is not null").select("doc_id", "key", "th", "class_hash"), "near-duplicates")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "key", "th"))
+    best = groups.groupBy("class_hash").agg(first.alias("best"), F.count("*").alias("n")).where("n > 1").select("class_hash", "best")
+    judged = groups.join(best, "class_hash").select("doc_id", "th", ((F.col("key") == F.col("best.key")) & (F.col("th") == F.col("best.th"))).alias("stays"))
+    judged = materialize(judged.groupBy("doc_id", "th", "stays").agg(F.count("*").alias("n")).where("not stays or n > 1"), "copies")
+    here = lambda side: docs["doc_id"].eqNullSafe(side["doc_id"]) & (text_key(docs["doc_id"], docs["text"]) == side["th"])
+    left = checked_broadcast(judged)
+    kept = docs.join(left, here(left), "left_anti")
+    twice = judged.where("stays")
     if twice.isEmpty():
         return kept
-    same = kept["doc_id"] == F.col("_twice")
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates())
+    again = checked_broadcast(twice.select("doc_id", "th"))
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    one = docs.join(again, here(again)).groupBy(again["th"]).agg(F.min_by(row, F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])).alias("row"))
+    return kept.unionByName(one.select("row.*"))
