@@ -1,8 +1,8 @@
 """Sharding through fixed virtual slots.
 
-A record's id hashes to one of a few thousand virtual slots for good. Shards own slots through a
-versioned map, and growing the map by a shard only hands slots to the new shard. Bytes are known per
-slot, so a map can also be edited by hand or by weight. Built-in expressions only.
+A record's id hashes to one of a few thousand virtual slots for good. Shards own slots through a stored, versioned
+map: one version per shard count, and growing it by a shard only hands slots to the new shard. Bytes are
+aggregated per slot; rebalance turns them into moves, and move_slots applies moves as a new version. Built-in expressions only.
 """
 
 from __future__ import annotations
@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialize, one_row_each
+
 VIRTUAL_SLOTS = 4096
+#: Rows of a virtual slot are numbered in so many parts, so that an id with many texts is many tasks.
+PARTS = 16
 #: Rows of one file that are numbered together when slots follow the files' order.
 CHUNK_ROWS = 20_000
 
@@ -32,49 +36,77 @@ def slot_map(spark: SparkSession, shards: int, slots: int = VIRTUAL_SLOTS) -> Da
 
 
 def slot_maps(spark: SparkSession, counts: tuple[int, ...], slots: int = VIRTUAL_SLOTS) -> DataFrame:
-    """The versioned map: (version, shards, vslot, shard), one version per shard count in order. Write it as a table to keep it."""
+    """The versioned map: (version, shards, vslot, shard), one version per shard count in order, stored as a table."""
     maps = [slot_map(spark, n, slots).select(F.lit(v).alias("version"), F.lit(n).alias("shards"), "vslot", "shard") for v, n in enumerate(counts, 1)]
     out = maps[0]
     for m in maps[1:]:
         out = out.unionByName(m)
-    return out
-
-
-def move_slots(mapping: DataFrame, moves: dict[int, int]) -> DataFrame:
-    """An edited (vslot, shard) map: the named slots go to the named shards, all else stays."""
-    shard = F.col("shard")
-    for vslot, to in sorted(moves.items()):
-        shard = F.when(F.col("vslot") == vslot, F.lit(to)).otherwise(shard)
-    return mapping.withColumn("shard", shard.cast("int"))
+    return materialize(out, "slot-maps")
 
 
 def slot_bytes(docs: DataFrame, slots: int = VIRTUAL_SLOTS, text: str = "text") -> DataFrame:
-    """Rows and bytes of each virtual slot, combined before the shuffle: at most `slots` rows."""
+    """(vslot, rows, bytes) of each virtual slot in use, combined before the shuffle: at most `slots` rows."""
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 1
     return docs.select(virtual_slot(F.col("doc_id"), slots).alias("vslot"), size.alias("s")).groupBy("vslot").agg(F.count("*").alias("rows"), F.sum("s").alias("bytes"))
 
 
+def rebalance(maps: DataFrame, version: int, sizes: DataFrame) -> DataFrame:
+    """(vslot, shard): the moves that even out a version's bytes, from slot_bytes.
+
+    Every shard keeps its largest slots up to the mean of all shards; the rest goes to the shards with room, in the order of size,
+    so that shards end within about one slot of the mean. A map has `slots` rows whatever the input, few enough for one task.
+    """
+    one = Window.partitionBy(F.lit(1))
+    held = maps.where(F.col("version") == version).join(sizes, "vslot", "left").select("vslot", "shard", "shards", F.coalesce("bytes", F.lit(0)).alias("b"))
+    filled = F.sum("b").over(Window.partitionBy("shard").orderBy(F.col("b").desc(), "vslot"))
+    held = held.select("*", (F.sum("b").over(one) / F.col("shards")).alias("mean"), filled.alias("filled")).withColumn("stays", F.col("filled") <= F.col("mean"))
+    room = held.groupBy("shard").agg(F.greatest(F.max("mean") - F.sum(F.when(F.col("stays"), F.col("b")).otherwise(0)), F.lit(0)).alias("room"))
+    upto = F.sum("room").over(Window.partitionBy(F.lit(1)).orderBy("shard"))
+    room = room.select(F.col("shard").alias("to"), (upto - F.col("room")).alias("a"), upto.alias("z"))
+    middle = F.sum("b").over(Window.partitionBy(F.lit(1)).orderBy(F.col("b").desc(), "vslot")) - F.col("b") / 2
+    free = held.where("not stays").select("vslot", "shard", middle.alias("at"))
+    found = free.join(F.broadcast(room), (F.col("at") >= F.col("a")) & (F.col("at") < F.col("z")))
+    return found.where("to <> shard").select("vslot", F.col("to").alias("shard"))
+
+
+def move_slots(maps: DataFrame, version: int, moves: DataFrame) -> DataFrame:
+    """The map with one more version: that of the given version with the slots of moves (vslot, shard), one row a slot, on their new shards."""
+    new = maps.agg(F.max("version") + 1).first()[0]
+    to = moves.select("vslot", F.col("shard").alias("to"))
+    edited = maps.where(F.col("version") == version).join(F.broadcast(to), "vslot", "left")
+    edited = edited.select(F.lit(new).alias("version"), "shards", "vslot", F.coalesce("to", "shard").cast("int").alias("shard"))
+    return materialize(maps.unionByName(edited), "slot-maps")
+
+
+def _owners(maps: DataFrame, version: int, grown: int) -> DataFrame:
+    """(vslot, shard, map_version, grown_shard) of two versions of the map."""
+    later = maps.where(F.col("version") == grown).select("vslot", F.col("shard").alias("grown_shard"))
+    return maps.where(F.col("version") == version).select("vslot", "shard", F.col("version").alias("map_version")).join(later, "vslot")
+
+
 def shard_rows(docs: DataFrame, shards: int = 8, slots: int = VIRTUAL_SLOTS, text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law 'key', shard, slot, grown_shard (with one more shard), vslot, map_version.
+    """doc_id, size, text_crc32, law 'key', shard, slot, grown_shard (with one more shard), vslot, map_version, vslot_bytes.
 
-    shard depends on the id and the count alone. slot is the row's place in its shard, gapless from 0:
-    rows are numbered inside their virtual slot and each slot starts where the one before ends, so no
-    task sees a whole shard. A null text has size 1 and checksum 0; a null id is an id like others;
-    repeated rows get slots of their own; an empty table gives an empty result. Only ids, sizes and
+    shard depends on the id and the count alone, by version 1 of a stored map; version 2 has one more shard.
+    slot is the row's place in its shard, gapless from 0: rows are numbered inside a part of their virtual slot, and each part
+    starts where the one before ends, so no task sees a whole shard, nor an id's rows when they are many: rows equal in
+    id, size and checksum are counted before they are numbered. A null text has size 1 and checksum 0; a null id is an id like
+    others; repeated rows get slots of their own; an empty table gives an empty result. Only ids, sizes and
     checksums are shuffled, never texts.
     """
-    spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(whole).cast("long") + 1).alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), virtual_slot(F.col("doc_id"), slots).alias("vslot"))
-    now, grown = slot_map(spark, shards, slots), slot_map(spark, shards + 1, slots).withColumnRenamed("shard", "grown_shard")
-    counts = docs.select(virtual_slot(F.col("doc_id"), slots).alias("vslot")).groupBy("vslot").agg(F.count("*").alias("n"))
-    # the map has `slots` rows whatever the input, so it is small enough to number and to broadcast
-    owned = now.join(grown, "vslot").join(counts, "vslot", "left")
-    before = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1))
-    starts = owned.select("vslot", "shard", "grown_shard", F.coalesce(before, F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32"))
-    return rows.withColumn("place", place).join(F.broadcast(starts), "vslot").select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place") - 1).alias("slot"), "grown_shard", "vslot", F.lit(1).alias("map_version")
+    part = F.pmod(F.xxhash64("size", "text_crc32"), F.lit(PARTS)).alias("part")
+    equal = materialize(rows.groupBy("vslot", part, "doc_id", "size", "text_crc32").agg(F.count("*").alias("n")), "sized-rows")
+    parts = equal.groupBy("vslot", "part").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("size")).alias("bytes"))
+    # the map has `slots` rows and there are PARTS times as many parts whatever the input: few enough to number and to broadcast
+    owned = parts.join(_owners(slot_maps(docs.sparkSession, (shards, shards + 1), slots), 1, 2), "vslot")
+    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = owned.select("*", F.coalesce(before, F.lit(0)).alias("start"), F.sum("bytes").over(Window.partitionBy("vslot")).alias("vslot_bytes")).drop("rows", "bytes")
+    before = F.sum("n").over(Window.partitionBy("vslot", "part").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1))
+    placed = equal.withColumn("place", F.coalesce(before, F.lit(0)))
+    return one_row_each(placed, "n", "nth").join(F.broadcast(starts), ["vslot", "part"]).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place") + F.col("nth")).alias("slot"), "grown_shard", "vslot", "map_version", "vslot_bytes"
     )
 
 
@@ -85,12 +117,11 @@ def shard_rows_in_order(docs: DataFrame, shards: int = 8, slots: int = VIRTUAL_S
     inside the file, whatever the order of reading. Rows are numbered by shard and chunk of a file, and each
     chunk starts where the one before ends, so no task sees a whole shard or a whole file.
     """
-    spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
     chunk = F.struct(part.alias("part"), F.col("_metadata.file_name").alias("file"), F.floor(F.col("_metadata.row_index") / CHUNK_ROWS).alias("k"))
     vslot = virtual_slot(F.col("doc_id"), slots).alias("vslot")
-    owned = slot_map(spark, shards, slots).join(slot_map(spark, shards + 1, slots).withColumnRenamed("shard", "grown_shard"), "vslot")
+    owned = _owners(slot_maps(docs.sparkSession, (shards, shards + 1), slots), 1, 2)
     rows = docs.select(
         "doc_id", (F.octet_length(whole).cast("long") + 1).alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), vslot, chunk.alias("chunk"), F.col("_metadata.row_index").alias("row")
     ).join(F.broadcast(owned), "vslot")
@@ -99,5 +130,5 @@ def shard_rows_in_order(docs: DataFrame, shards: int = 8, slots: int = VIRTUAL_S
     starts = counts.select("shard", "chunk", F.coalesce(before, F.lit(0)).alias("start"))
     place = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("row"))
     return rows.withColumn("place", place).join(starts, ["shard", "chunk"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place") - 1).alias("slot"), "grown_shard", "vslot", F.lit(1).alias("map_version")
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place") - 1).alias("slot"), "grown_shard", "vslot", "map_version"
     )
