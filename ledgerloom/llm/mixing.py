@@ -16,19 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize
+from .common import checked_broadcast, materialize, one_row_each
 
 #: Least time slots of one period; weights are rounded to multiples of one slot. More or smaller sources make it longer.
 PERIOD = 1000
 BLOCK_ROWS = 32
-#: Rows that one numbering task holds on average.
-BUCKET_ROWS = 20_000
-#: 2^32 over the golden ratio: multiplying by it and keeping 32 bits scatters ids evenly.
-SCATTER = 2654435761
 
 
 def scatter(doc_id: Column) -> Column:
-    return F.pmod(F.pmod(F.coalesce(doc_id, F.lit(0)), F.lit(1 << 31)) * SCATTER, F.lit(1 << 32))
+    """32 bits of the id's hash, from 0; a null id has a hash too."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id), 32)
 
 
 def period_for(sizes: DataFrame, power: float = 0.5, least: int = PERIOD) -> int:
@@ -80,26 +77,26 @@ def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
 def mix_order(docs: DataFrame, power: float = 0.5, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """doc_id, source, block, time_slot, in_block, units: every input row once, in its place in the mix.
 
-    Rows of a source are ordered by a scattered id, then id; rows equal in both are interchangeable here.
-    Order by (time_slot, in_block) to read the mix: every prefix of time slots holds each source to
-    within one block of its target until a source runs out; then its slots stay empty and the others
-    keep theirs. A null source is a source, a null id scatters as 0. Texts are not read.
-    Numbering goes by (source, range of scattered id), so a source with a third of all rows is many tasks.
+    Rows of a source are ordered by a scattered id, then id; rows equal in source and id are interchangeable here, and counted
+    before they are numbered. Order by (time_slot, in_block) to read the mix: every prefix of time slots holds each source to
+    within one block of its share units / period, which is its target to within 1 / period,
+    until a source runs out; then its slots stay empty and the others keep theirs. A null source is a source. Texts are not read.
+    Numbering goes by (source, range of scattered id): about as many ranges as rows in each, so a source with a
+    third of all rows is many tasks at any size.
     """
-    slim = docs.select("doc_id", "source", scatter(F.col("doc_id")).alias("h"))
-    sizes = materialize(docs.groupBy("source").agg(F.count("*").alias("n")), "source-sizes")
+    slim = materialize(docs.groupBy("source", "doc_id").agg(F.count("*").alias("n")), "counted-ids").withColumn("h", scatter(F.col("doc_id")))
+    sizes = materialize(slim.groupBy("source").agg(F.sum("n").alias("n")), "source-sizes")
     period = period_for(sizes, power, period)
     weights = materialize(source_weights(sizes, power, period), "mix-weights")
-    # ranges of the scattered id: as many as the largest source needs
-    width = F.greatest(F.lit(1), F.floor(F.lit(1 << 32) * F.lit(BUCKET_ROWS) / F.greatest(F.max("n"), F.lit(1)))).alias("width")
-    width = sizes.agg(width).first()["width"] or 1
-    slim = slim.withColumn("b", F.floor(F.col("h") / width))
+    ranges = sizes.agg(F.ceil(F.sqrt(F.max("n"))).alias("r")).first()["r"] or 1
+    slim = slim.withColumn("b", F.floor(F.col("h") / F.lit((1 << 32) // ranges + 1)))
     source_b = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slim.groupBy("source", "b").agg(F.count("*").alias("n")).select("source", "b", F.coalesce(F.sum("n").over(source_b), F.lit(0)).alias("start"))
-    nth = F.row_number().over(Window.partitionBy("source", "b").orderBy("h", "doc_id")) - 1
+    starts = slim.groupBy("source", "b").agg(F.sum("n").alias("n")).select("source", "b", F.coalesce(F.sum("n").over(source_b), F.lit(0)).alias("start"))
+    before = F.sum("n").over(Window.partitionBy("source", "b").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     same = lambda x, y, *keys: [x[k].eqNullSafe(y[k]) for k in keys]
-    rows = slim.withColumn("nth", nth)
-    rows = rows.join(starts, same(rows, starts, "source", "b"), "left").select("doc_id", rows["source"], (F.col("start") + F.col("nth")).alias("pos"))
+    rows = slim.withColumn("before", F.coalesce(before, F.lit(0)))
+    rows = rows.join(starts, same(rows, starts, "source", "b"), "left").select("doc_id", rows["source"], rows["n"], (F.col("start") + F.col("before")).alias("first"))
+    rows = one_row_each(rows, "n", "nth").select("doc_id", "source", (F.col("first") + F.col("nth")).alias("pos"))
     rows = rows.select("doc_id", "source", F.floor(F.col("pos") / block_rows).alias("block"), (F.col("pos") % block_rows).alias("in_block"))
     plan = materialize(schedule(weights, period), "mix-plan")
     plan = plan.join(weights, plan["source"].eqNullSafe(weights["source"])).select(plan["source"].alias("s"), "j", "at", "units")
@@ -117,8 +114,7 @@ def mixed(docs: DataFrame, power: float = 0.5) -> DataFrame:
 
     Rows that repeat an id within a source share the first of their places.
     """
-    at = F.min(F.col("time_slot") * BLOCK_ROWS + F.col("in_block")).alias("_at")
-    places = materialize(mix_order(docs, power).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_src")).agg(at), "mix-places")
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_src"))
-    out = docs.join(checked_broadcast(places), same).drop("_id", "_src")
-    return out.repartitionByRange("_at").sortWithinPartitions("_at").drop("_at")
+    at = F.min(F.col("time_slot") * BLOCK_ROWS + F.col("in_block")).alias("at")
+    places = checked_broadcast(materialize(mix_order(docs, power).groupBy("doc_id", "source").agg(at), "mix-places"))
+    out = docs.join(places, docs["doc_id"].eqNullSafe(places["doc_id"]) & docs["source"].eqNullSafe(places["source"]))
+    return out.repartitionByRange(places["at"]).sortWithinPartitions(places["at"]).select(*[docs[f"`{c}`"] for c in docs.columns])
