@@ -25,6 +25,8 @@ from .common import materialize, small_batches
 FEATURES = 1 << 18
 #: Labelled documents the fit uses at most, chosen by a hash of the id: the fit's stated bound.
 SAMPLE = 12_000
+#: Partitions of the sample, each of which returns one gradient a round.
+PARTS = 6
 #: Grades: 0 toxic, 1 poor, 2 good.
 GRADES = 3
 #: A document stays if P(grade 2) reaches this.
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
     feats = F.pandas_udf(lambda texts: pd.Series([features(t) for t in texts]), "array<int>")
     # `sample` rows of two numbers: bounded by the parameter
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("grade", feats("text").alias("idx"))
-    rows = materialize(rows.coalesce(6), "graded")
+    rows = materialize(rows.repartition(PARTS), "graded")  # after the scan and its features, which run in all tasks
     # the features the sample has, at most FEATURES; the others' weights stay 0, so rounds go without them
     used = np.array(sorted(r[0] for r in rows.select(F.explode("idx")).distinct().collect()), np.int32)
     if not len(used):
@@ -142,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
     rows = materialize(rows.select("grade", place("idx").alias("idx")), "graded-compact")
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
-        parts = rows.mapInArrow(_gradient(x), "loss double, grad binary").collect()  # a row per partition, at most 6
+        parts = rows.mapInArrow(_gradient(x), "loss double, grad binary").collect()  # a row per partition, at most PARTS
         w = np.concatenate([x[: len(used)], np.zeros(GRADES - 1)])
         return sum(p.loss for p in parts) + penalty / 2 * w @ w, sum(np.frombuffer(p.grad, np.float32).astype(float) for p in parts) + penalty * w
 

@@ -10,7 +10,7 @@ import pytest
 from ledgerloom.llm import decontamination, jaccard_join, mixing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filters
 
 # columns named like ones the operators make up
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th long, rep long, k string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th long, rep long, k string, _id long, key long, at long, part long, n long, label string"
 WORDS = [f"w{i}" for i in range(400)]
 
 
@@ -29,8 +29,8 @@ def rows():
         words[60] = "changed"
         texts.append(" ".join(words))
     texts += ["prefix " + base[7][:260] + " suffix", "write to jo.doe@mail.example.com or +49 30 1234567890, from 10.1.2.3", base[9].upper(), "<|endoftext|> and  two  spaces \n x"]
-    out = [(i, t, "en", f"s{i % 3}" if i % 7 else None, len(t or ""), 1, 2, "k") for i, t in enumerate(texts)]
-    return [*out, out[12], out[12], (None, base[0], "en", "s1", 3, 1, 2, "k")]
+    out = [(i, t, "en", f"s{i % 3}" if i % 7 else None, len(t or ""), 1, 2, "k", 3, 4, 5, 6, 7, "x") for i, t in enumerate(texts)]
+    return [*out, out[12], out[12], (None, base[0], "en", "s1", 3, 1, 2, "k", 3, 4, 5, 6, 7, "x")]
 
 
 @pytest.fixture(scope="module")
@@ -128,9 +128,30 @@ def test_near_duplicates(docs, rows):
     want = {(k, low[k], top[low[k]], sum(a == low[k] for a, _ in links)) for k in sets}
     got = _found(jaccard_join.near_duplicates(docs), "doc_id", "text_class", "class_id", "n_links")
     assert {g for g in got if g[0] is not None} == want and sum(got.values()) == len(rows)
+    assert {g[1:] for g in got if g[0] is None} == {w[1:] for w in want if w[0] == rows[9][0]}  # the row without an id repeats that text
     assert any(n for *_, n in want)
-    kept = [r["doc_id"] for r in jaccard_join.one_of_each(docs).collect()]
-    assert sorted(k for k in kept if k is not None) == sorted({top[low[k]] for k in sets})
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({top[low[k]] for k in sets})
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    rng = random.Random(12)
+    a, b, c = (_text(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, c), (None, c + " more"), (None, _text(rng, 60)), (3, b + " more"), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.near_duplicates(docs).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == Counter([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (None, None, 1), (None, None, 1), (None, None, 0), (3, 1, 1), (None, None, 0), (4, 4, 0)])
+    assert len({r["class_hash"] for r in got if r["n_links"]}) == 3 and sum(r["class_hash"] is None for r in got) == 2
+    kept = _found(jaccard_join.one_of_each(docs), "doc_id", "text")
+    assert {x for x in kept if x[0] is not None or x[1] is None or x == rows[6]} == {(1, a), (1, b), rows[6], (None, None), (4, "")}
+    assert sum(kept.values()) == 6 and len(kept) == 6
+
+
+def test_a_row_that_repeats_the_surviving_id_and_text_goes(spark):
+    text = _text(random.Random(13), 30)
+    docs = spark.createDataFrame([(7, text, "x"), (7, text, "y"), (9, text, "z"), (7, text, "x"), (8, "  ", "w"), (8, "  ", "w")], "doc_id long, text string, note string")
+    kept = sorted((r["doc_id"], r["note"]) for r in jaccard_join.one_of_each(docs).collect())
+    assert kept[1:] == [(8, "w"), (8, "w")] and kept[0] in [(7, "x"), (7, "y")]
 
 
 def test_large_group_is_compared_in_blocks(spark, monkeypatch):
@@ -169,6 +190,44 @@ def test_sharding(docs, rows):
     for s in range(8):
         slots = sorted(r["slot"] for r in got if r["shard"] == s)
         assert slots == list(range(len(slots)))
+    vslot = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:8], 16) % sharding.VIRTUAL_SLOTS
+    size = Counter()
+    for r in got:
+        size[r["vslot"]] += r["size"]
+    assert all(r["vslot"] == vslot(r["doc_id"]) and r["vslot_bytes"] == size[r["vslot"]] and r["map_version"] == 1 for r in got)
+    draw = lambda v, m: int(hashlib.md5(f"{v}:{m}".encode()).hexdigest()[:8], 16)
+    owner = lambda v, n: max((m for m in range(1, n) if draw(v, m) * (m + 1) < 1 << 32), default=0)
+    assert all((r["shard"], r["grown_shard"]) == (owner(r["vslot"], 8), owner(r["vslot"], 9)) for r in got)
+
+
+def test_slot_map_is_edited_from_bytes(spark, docs):
+    sizes = spark.range(64).selectExpr("id AS vslot", "id * id AS bytes").where("vslot <> 5")
+    maps = sharding.slot_maps(spark, (4,), 64)
+    moves = sharding.rebalance(maps, 1, sizes)
+    edited = sharding.move_slots(maps, 1, moves)
+    shard = {(r["version"], r["vslot"]): r["shard"] for r in edited.collect()}
+    assert len(shard) == 128 and {v for v, _ in shard} == {1, 2}
+    moved = {r["vslot"]: r["shard"] for r in moves.collect()}
+    assert moved and all(shard[2, v] == moved.get(v, shard[1, v]) for v in range(64))
+    load = {v: Counter() for v in (1, 2)}
+    for (v, slot), s in shard.items():
+        load[v][s] += slot * slot if slot != 5 else 0
+    mean = sum(load[1].values()) / 4
+    assert max(abs(x - mean) for x in load[2].values()) <= min(63 * 63, max(abs(x - mean) for x in load[1].values()))
+    held = {r["vslot"]: (r["rows"], r["bytes"]) for r in sharding.slot_bytes(docs).collect()}
+    rows = sharding.shard_rows(docs).collect()
+    assert held == {r["vslot"]: (sum(x["vslot"] == r["vslot"] for x in rows), r["vslot_bytes"]) for r in rows}
+
+
+def test_an_id_with_many_rows_is_numbered_in_parts(spark):
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 2 = 0 THEN NULL ELSE id * 4294967296 END AS doc_id", "concat('t', id % 700) AS text", "'s' AS source")
+    got = sharding.shard_rows(docs).collect()
+    for s in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    order = mixing.mix_order(docs, block_rows=2).collect()
+    assert len({(r["time_slot"], r["in_block"]) for r in order}) == len(order) == 3000
+    assert docs.select(mixing.scatter(docs["doc_id"])).distinct().count() > 1490
 
 
 def test_mixing_stays_within_a_block(spark):
