@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ledgerloom.plans import ledger_queries
+from ledgerloom.plans import ledger_queries, record_queries
 
-_MODULES = (ledger_queries,)
+_MODULES = (ledger_queries.query, record_queries.query)
 
 
 def queries() -> dict[str, Callable]:
-    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in _MODULES for k, f in m.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _MODULES for k, s in m.SQL.items()}
+    return {k: s for m in _MODULES for k, s in m.sql.items()}

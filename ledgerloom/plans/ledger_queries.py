@@ -7,19 +7,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import exprs as X
 from ledgerloom.operators import balances, classify, dedup, intervals, matching, refunds, statistics
 from ledgerloom.plans import bridge as B
+from ledgerloom.plans.registry import Registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+query = Registry()
 
 
 _CHAIN = f"""WITH {B.STATEMENT},
