@@ -1,47 +1,62 @@
-"""Payment and bank rows of one event: scored candidates, suppression, ambiguity, unique matches."""
+"""Payment and bank rows of one event: scored candidates, suppression, ambiguity, unique and ordered matches, and sums."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
-
-#: Evidence codes and weights.
-WEIGHTS = {
-    "amount_exact": "0.25", "direction_exact": "0.10", "booking_date_exact": "0.15", "booking_date_adjacent": "0.05",
-    "merchant_semantic_match": "0.10", "bank_suffix_exact": "0.25", "datetime_exact": "0.20", "datetime_close": "0.12",
-}
+from ledgerloom.functions import texts as T
+from ledgerloom.functions.lexicon import EVIDENCE
+from ledgerloom.operators.durable import cut
+
+
+def _side(rows: DataFrame, p: str) -> DataFrame:
+    """What the match looks at, worked out once per row and not per pair."""
+    said = T.text("merchant", "counterparty", "description")
+    return rows.where("booking_date is not null").select(
+        "amount", *[F.col(c).alias(f"{p}_{c}") for c in ("raw_id", "source", "booking_date", "direction")],
+        F.unix_timestamp(F.col("transaction_time").cast("timestamp")).alias(f"{p}_secs"), F.coalesce("bank_card_suffix", F.lit("")).alias(f"{p}_suffix"), T.bank_families(F.col("payment_method")).alias(f"{p}_families"),
+        T.merchant_tokens(said).alias(f"{p}_tokens"), T.refund_words(T.text("merchant", "counterparty", "description", "status")).alias(f"{p}_refund"),
+        T.payment_rail(said).alias(f"{p}_rail"), F.col("balance").isNotNull().alias(f"{p}_anchored"), T.is_internal_product(T.text("description", "counterparty")).alias(f"{p}_product"),
+    )
 
 
 def match_candidates(payments: DataFrame, banks: DataFrame) -> DataFrame:
     """(left_raw_id, right_raw_id, phase, confidence, evidence) of payment and bank rows of equal amount at most a day apart.
 
-    Rows are (raw_id, ts, amount, party, suffix). The join is on amount and day, each payment looking
-    at three days, so a frequent amount spreads over days. The card suffix must agree; a day's gap
-    needs the merchant; and merchant or time must speak for the pair. Exact phase: same day and time
-    within five seconds or the same merchant.
+    The join is on amount and day, each payment looking at three days, so a frequent amount spreads over days; texts are read before it.
+    Out go bank rows of the bank's own products, pairs of different directions unless they are a refund's, bank rows that name
+    the other wallet, payments without a card or a common bank name, pairs a day apart without merchant or rail, and pairs without any
+    sign of their own. Exact phase: one day, the same card or bank, and the same time, merchant or rail.
     """
-    day = F.col("ts").cast("date")
-    p = payments.select(*[F.col(c).alias(f"p_{c}") for c in ("raw_id", "ts", "amount", "party", "suffix")], F.explode(F.array(*[F.date_add(day, d) for d in (-1, 0, 1)])).alias("day"), "amount")
-    b = banks.select(*[F.col(c).alias(f"b_{c}") for c in ("raw_id", "ts", "party", "suffix")], day.alias("day"), "amount")
-    both = p.join(b, ["amount", "day"]).where(F.col("p_suffix") == F.col("b_suffix"))
-    gap = F.abs(F.datediff(F.col("p_ts").cast("date"), F.col("b_ts").cast("date")))
-    secs = X.seconds_between(F.col("p_ts"), F.col("b_ts"))
-    a, z = X.plain_party(F.col("p_party")), X.plain_party(F.col("b_party"))
-    merchant = (F.char_length(a) >= 2) & (F.char_length(z) >= 2) & (F.contains(a, z) | F.contains(z, a))
-    both = both.withColumns({"gap": gap, "secs": secs, "merchant": merchant})
-    both = both.where(F.col("merchant") | ((F.col("gap") == 0) & (F.col("secs") <= 120)))
+    day = F.col("p_booking_date")
+    p = _side(payments, "p").withColumn("day", F.explode(F.array(*[F.date_add(day, d) for d in (-1, 0, 1)])))
+    b = _side(banks, "b").where("not b_product").withColumn("day", F.col("b_booking_date"))
+    both = p.join(b, ["amount", "day"]).where("b_rail is null or b_rail = p_source")
+    same_day = F.col("p_booking_date") == F.col("b_booking_date")
+    pair = (F.col("amount") > 0) & F.col("p_direction").isin("neutral", "income") & (F.col("b_direction") == "income") & F.col("p_refund") & F.col("b_refund")
+    anchored = same_day & (F.col("amount") > 0) & (F.col("b_direction") == "income") & F.col("b_anchored") & F.col("p_refund")
+    suffix, bank = (F.col("p_suffix") != "") & (F.col("p_suffix") == F.col("b_suffix")), F.arrays_overlap("p_families", "b_families")
+    secs = F.abs(F.col("p_secs") - F.col("b_secs"))
+    both = both.where(((F.col("p_direction") == F.col("b_direction")) | pair | anchored) & ((F.col("p_suffix") != "") | bank))
+    both = both.withColumns({
+        "same_day": same_day, "pair": pair, "anchored": anchored, "suffix": suffix, "bank": bank, "rail": F.col("b_rail").isNotNull(), "merchant": F.arrays_overlap("p_tokens", "b_tokens"),
+        "exact_time": F.coalesce(secs <= 5, F.lit(False)), "close_time": F.coalesce((secs > 5) & (secs <= 120), F.lit(False)), "timeless": F.col("b_secs").isNull(),
+    })
+    both = both.where("(same_day or merchant or rail) and (suffix or bank or exact_time or close_time or merchant)")
+    c = F.col
+    exact = c("same_day") & (c("suffix") | c("bank")) & (c("exact_time") | c("merchant") | c("rail"))
     said = {
-        "amount_exact": F.lit(True), "direction_exact": F.lit(True), "booking_date_exact": F.col("gap") == 0, "booking_date_adjacent": F.col("gap") == 1,
-        "merchant_semantic_match": F.col("merchant"), "bank_suffix_exact": F.lit(True), "datetime_exact": F.col("secs") <= 5, "datetime_close": F.col("secs").between(6, 120),
+        "amount_exact": F.lit(True), "refund_credit_direction": c("pair"), "anchored_refund_credit": ~c("pair") & c("anchored"), "direction_exact": ~c("pair") & ~c("anchored"), "booking_date_exact": c("same_day"),
+        "booking_date_adjacent": ~c("same_day"), "bank_suffix_exact": c("suffix"), "bank_name_exact": c("bank"), "payment_rail_exact": c("rail"), "datetime_exact": c("exact_time"), "datetime_close": c("close_time"),
+        "bank_time_unavailable": ~c("exact_time") & ~c("close_time") & c("timeless"), "merchant_semantic_match": c("merchant"), "match_phase_exact": exact, "match_phase_fuzzy": ~exact,
     }
-    score = sum((F.when(c, F.lit(WEIGHTS[k]).cast("decimal(4,2)")).otherwise(F.lit(0).cast("decimal(4,2)")) for k, c in said.items()), F.lit(0).cast("decimal(4,2)"))
-    phase = F.when((F.col("gap") == 0) & ((F.col("secs") <= 5) | F.col("merchant")), "exact").otherwise("fuzzy")
-    evidence = F.array_compact(F.array(*[F.when(c, k) for k, c in said.items()]))
+    zero = F.lit(0).cast("decimal(4,2)")
+    score = sum((F.when(said[k], F.lit(w).cast("decimal(4,2)")).otherwise(zero) for k, w in EVIDENCE.items()), zero)
     return both.select(
-        F.col("p_raw_id").alias("left_raw_id"), F.col("b_raw_id").alias("right_raw_id"), phase.alias("phase"),
-        F.least(score, F.lit("0.99").cast("decimal(4,2)")).cast("decimal(4,2)").alias("confidence"), F.array_join(evidence, ",").alias("evidence"),
+        F.col("p_raw_id").alias("left_raw_id"), F.col("b_raw_id").alias("right_raw_id"), F.when(exact, "exact").otherwise("fuzzy").alias("phase"),
+        F.least(score, F.lit("0.99").cast("decimal(4,2)")).cast("decimal(4,2)").alias("confidence"), F.concat_ws(",", *[F.when(said[k], F.lit(k)) for k in EVIDENCE]).alias("evidence"),
     )
 
 
@@ -66,6 +81,12 @@ def unique_matches(candidates: DataFrame) -> DataFrame:
     return with_degrees(candidates).where("not ambiguous").select(*candidates.columns)
 
 
+def unlinked(raws: DataFrame, pairs: DataFrame) -> DataFrame:
+    """raws that stand in no pair."""
+    ends = pairs.select(F.explode(F.array("left_raw_id", "right_raw_id")).alias("raw_id"))
+    return raws.join(ends, "raw_id", "left_anti")
+
+
 def competing(candidates: DataFrame, limit_to: DataFrame) -> DataFrame:
     """(left_raw_id, right_raw_id): candidates that share exactly one end with a pair of limit_to."""
     pick = limit_to.select(F.col("left_raw_id").alias("l"), F.col("right_raw_id").alias("r"))
@@ -74,21 +95,81 @@ def competing(candidates: DataFrame, limit_to: DataFrame) -> DataFrame:
     return by_left.union(by_right).select("left_raw_id", "right_raw_id").distinct()
 
 
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) of edges (a, b): the least node each is connected to, by rounds of least labels with pointer jumping.
+
+    Rounds are checkpointed, so a long chain needs no long plan and a lost executor no earlier round.
+    """
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component")))
+    for _ in range(rounds):
+        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("near"))
+        step = label.join(near, label["node"] == near["a"]).select("node", F.col("component").alias("was"), F.least("component", "near").alias("m"))
+        top = label.select(F.col("node").alias("m"), F.col("component").alias("top"))
+        new = cut(step.join(top, "m", "left").select("node", "was", F.least("m", F.coalesce("top", "m")).alias("component")))
+        label = new.select("node", "component")
+        if new.where("component < was").isEmpty():
+            return label
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def ordered_matches(candidates: DataFrame, payments: DataFrame, banks: DataFrame) -> DataFrame:
+    """(left_raw_id, right_raw_id) of groups of connected candidates whose payments, by time, and bank rows, by place in the statement, pair off one to one.
+
+    A group counts only if every pair so made, up to the shorter side, is a candidate with exact day and card or bank; then all its pairs are returned.
+    """
+    left, right = F.concat(F.lit("L"), "left_raw_id"), F.concat(F.lit("R"), "right_raw_id")
+    nodes = components(candidates.select(left.alias("a"), right.alias("b")))
+    side = lambda letter: nodes.where(F.col("node").startswith(letter)).select(F.expr("substring(node, 2)").alias("raw_id"), "component")
+    of = Window.partitionBy("component")
+    p = side("L").join(payments.select("raw_id", "booking_date", "transaction_time"), "raw_id").select("component", F.col("raw_id").alias("left_raw_id"), F.col("transaction_time").isNotNull().alias("timed"), F.row_number().over(of.orderBy("booking_date", "transaction_time", "raw_id")).alias("nth"))
+    b = side("R").join(banks.select("raw_id", "booking_date", "raw_row_number"), "raw_id").select("component", F.col("raw_id").alias("right_raw_id"), F.col("raw_row_number").isNotNull().alias("placed"), F.row_number().over(of.orderBy("booking_date", "raw_row_number", "raw_id")).alias("nth"))
+    fit = F.contains("evidence", F.lit("booking_date_exact")) & T.has_any(F.col("evidence"), ["bank_suffix_exact", "bank_name_exact"]) & T.has_any(F.col("evidence"), ["bank_time_unavailable", "datetime_exact", "datetime_close"])
+    made = p.join(b, ["component", "nth"]).join(candidates.select("left_raw_id", "right_raw_id", fit.alias("fit")), ["left_raw_id", "right_raw_id"], "left")
+    good = made.groupBy("component").agg(F.bool_and(F.coalesce("fit", F.lit(False)) & F.col("timed") & F.col("placed")).alias("ok")).where("ok")
+    return made.join(good, "component").select("component", "nth", "left_raw_id", "right_raw_id")
+
+
 def subset_sums(banks: DataFrame, payments: DataFrame) -> DataFrame:
-    """(bank_id, first_id, second_id, solutions, unique): two payments of a bank row's account and day that add up to it.
+    """(bank_id, payment_ids, solutions, unique): two or three payments of a bank row's account, day and sign that add up to it.
 
-    Both are (row_id, account, day, amount). The second payment is found by its amount, so the join is
-    on (account, day, amount) and not over pairs. unique: the bank row has one solution, and each payment stands in one unique solution.
+    Both are (row_id, account, day, amount). Payments are first counted by amount: sums are sought among the distinct amounts of an
+    account and day, and only amounts that solve one are turned into rows; the last part is found by its amount, so the joins are
+    on keys and not over pairs. unique: the bank row has one solution, and each payment stands in one unique solution.
     """
-    b = banks.select(F.col("row_id").alias("bank_id"), "account", "day", F.col("amount").alias("total"))
-    one = payments.select(F.col("row_id").alias("first_id"), "account", "day", F.col("amount").alias("x"))
-    two = payments.select(F.col("row_id").alias("second_id"), "account", "day", F.col("amount").alias("y"))
-    found = b.join(one, ["account", "day"]).withColumn("y", (F.col("total") - F.col("x")).cast(X.MONEY)).join(two, ["account", "day", "y"]).where("first_id < second_id")
+    key = ["account", "day", "sign"]
+    sign = F.signum(F.col("amount").cast("double")).alias("sign")
+    b = banks.select(F.col("row_id").alias("bank_id"), "account", "day", sign, F.col("amount").alias("total"))
+    pays = payments.select("row_id", "account", "day", sign, "amount").where("sign <> 0")
+    values = pays.groupBy(*key, "amount").agg(F.count("*").alias("n"))
+    v = lambda k: values.select(*key, F.col("amount").alias(k), F.col("n").alias(f"n_{k}"))
+    totals = b.select(*key, "total").distinct()
+    less = lambda *used: (F.col("total") - sum((F.col(u) for u in used), F.lit(0))).cast(X.MONEY)
+    two = totals.join(v("x"), key).withColumn("y", less("x")).where("x <= y").join(v("y"), [*key, "y"]).where("x < y or n_x > 1")
+    three = totals.join(v("x"), key).where("abs(x) < abs(total)").join(v("y"), key).where("x <= y").withColumn("z", less("x", "y")).where("y <= z").join(v("z"), [*key, "z"])
+    three = three.where("(x < y or n_x > 1) and (y < z or n_y > 1) and (x < z or n_x > 2)")
+    row = lambda k: pays.select(*key, F.col("amount").alias(k), F.col("row_id").alias(f"i_{k}"))
+    pair = two.join(row("x"), [*key, "x"]).join(row("y"), [*key, "y"]).where("x < y or i_x < i_y").select(*key, "total", F.array("i_x", "i_y").alias("ids"))
+    trio = three.join(row("x"), [*key, "x"]).join(row("y"), [*key, "y"]).where("x < y or i_x < i_y").join(row("z"), [*key, "z"]).where("y < z or i_y < i_z").select(*key, "total", F.array("i_x", "i_y", "i_z").alias("ids"))
+    found = b.join(pair.unionByName(trio), [*key, "total"]).select("bank_id", F.sort_array("ids").alias("payment_ids"))
     per_bank = found.groupBy("bank_id").agg(F.count("*").alias("solutions"))
-    found = found.join(per_bank, "bank_id").select("bank_id", "first_id", "second_id", "solutions")
-    single = found.where("solutions = 1")
-    used = single.select(F.explode(F.array("first_id", "second_id")).alias("id")).groupBy("id").agg(F.count("*").alias("uses"))
-    a, c = used.toDF("first_id", "u1"), used.toDF("second_id", "u2")
-    out = found.join(a, "first_id", "left").join(c, "second_id", "left")
-    only = (F.col("solutions") == 1) & (F.col("u1") == 1) & (F.col("u2") == 1)
-    return out.select("bank_id", "first_id", "second_id", "solutions", F.coalesce(only, F.lit(False)).alias("unique"))
+    found = found.join(per_bank, "bank_id")
+    uses = found.where("solutions = 1").select(F.explode("payment_ids").alias("id")).groupBy("id").agg(F.count("*").alias("uses")).where("uses > 1")
+    shared = found.where("solutions = 1").select("bank_id", F.explode("payment_ids").alias("id")).join(uses, "id").select("bank_id").distinct().withColumn("shared", F.lit(True))
+    return found.join(shared, "bank_id", "left").select("bank_id", "payment_ids", "solutions", ((F.col("solutions") == 1) & F.col("shared").isNull()).alias("unique"))
+
+
+def mixed_funding(payments: DataFrame, banks: DataFrame) -> DataFrame:
+    """(raw_id, bank_id, bank_amount): the one bank row that best explains the bank's part of a mixed payment.
+
+    payments: raw_id, account, day, amount, merchant; banks: bank_id, account, day, amount (below 0), merchant. Within three days and no
+    larger than the payment, of the same merchant or a generic wallet name; ranked by merchant, days, size; a tie for the best is no answer.
+    Each payment looks at seven days of its account.
+    """
+    p = payments.select("raw_id", "account", F.col("day").alias("d"), F.abs("amount").alias("a"), F.col("merchant").alias("m"), F.explode(F.array(*[F.date_add("day", k) for k in range(-3, 4)])).alias("day"))
+    b = banks.where("amount < 0").select("bank_id", "account", "day", F.abs("amount").alias("bank_amount"), "merchant")
+    exact: Column = F.coalesce(F.col("m") == F.col("merchant"), F.lit(False))
+    near = p.join(b, ["account", "day"]).where((F.col("bank_amount") <= F.col("a")) & (exact | F.contains(F.coalesce("merchant", F.lit("")), F.lit("支付宝"))))
+    ranked = near.groupBy("raw_id", (~exact).alias("other"), F.abs(F.datediff("day", "d")).alias("gap"), (-F.col("bank_amount")).alias("less")).agg(F.count("*").alias("n"), F.min("bank_id").alias("bank_id"))
+    best = ranked.groupBy("raw_id").agg(F.min(F.struct("other", "gap", "less", "n", "bank_id")).alias("b"))
+    return best.where("b.n = 1").select("raw_id", "b.bank_id", (-F.col("b.less")).cast(X.MONEY).alias("bank_amount"))

@@ -69,20 +69,6 @@ lg AS (SELECT row_id, source, ts, (CASE WHEN kind = 'EXPENSE' THEN -total ELSE t
 """
 
 
-def refund_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(refunds, originals) of orders by customer: row_id, party, day, amount."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("party"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast(MONEY).alias("amount"), (F.col("o_orderstatus") == "P").alias("r"))
-    return rows.where("r").drop("r"), rows.where("not r").drop("r")
-
-
-REFUNDS = """
-ro AS (SELECT o_orderkey AS row_id, o_custkey AS party, o_orderdate::DATE AS day, o_totalprice::DECIMAL(18,2) AS amount, o_orderstatus = 'P' AS r FROM orders),
-rc0 AS (SELECT a.row_id AS refund_id, b.row_id AS original_id, date_diff('day', b.day, a.day) AS days, CASE WHEN a.amount = b.amount THEN 'full' ELSE 'partial' END AS kind, a.amount AS ra, b.amount AS oa
-  FROM ro a JOIN ro b ON a.party = b.party AND a.r AND NOT b.r AND a.amount <= b.amount AND date_diff('day', b.day, a.day) BETWEEN 0 AND 180),
-rc AS (SELECT *, count(*) OVER (PARTITION BY refund_id) > 1 AS ambiguous FROM rc0)
-"""
-
-
 def sums_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(banks, payments) of events: row_id, account, day, amount; purchases are twice their unit, clicks once."""
     v = F.floor(F.col("value")).cast("int") % 6 + 1

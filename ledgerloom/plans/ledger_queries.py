@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
-from ledgerloom.operators import balances, classify, dedup, intervals, matching, refunds, statistics
+from ledgerloom.operators import balances, classify, dedup, intervals, statistics
 from ledgerloom.plans import bridge as B
 from ledgerloom.plans.registry import Registry
 
@@ -144,80 +144,6 @@ def occurrence_numbers(spark, d):
     return dedup.occurrence_numbers(rows, ["source", "day", "amount", "party"], "raw_id").select("raw_id", "occurrence")
 
 
-_MATCH = f"""WITH {B.OBSERVATIONS},
-mc0 AS (SELECT p.raw_id AS l, b.raw_id AS r, abs(date_diff('day', p.ts::DATE, b.ts::DATE)) AS gap, abs(epoch(p.ts) - epoch(b.ts)) AS secs, contains(lower(p.party), lower(b.party)) OR contains(lower(b.party), lower(p.party)) AS m
-  FROM obs p JOIN obs b ON p.source <> 'bank' AND b.source = 'bank' AND p.amount = b.amount AND p.suffix = b.suffix AND abs(date_diff('day', p.ts::DATE, b.ts::DATE)) <= 1),
-mc AS (SELECT l AS left_raw_id, r AS right_raw_id, CASE WHEN gap = 0 AND (secs <= 5 OR m) THEN 'exact' ELSE 'fuzzy' END AS phase,
-  least(0.60 + CASE gap WHEN 0 THEN 0.15 ELSE 0.05 END + CASE WHEN m THEN 0.10 ELSE 0 END + CASE WHEN secs <= 5 THEN 0.20 WHEN secs <= 120 THEN 0.12 ELSE 0 END, 0.99)::DECIMAL(4,2) AS confidence,
-  concat_ws(',', 'amount_exact', 'direction_exact', CASE gap WHEN 0 THEN 'booking_date_exact' ELSE 'booking_date_adjacent' END, CASE WHEN m THEN 'merchant_semantic_match' END, 'bank_suffix_exact',
-    CASE WHEN secs <= 5 THEN 'datetime_exact' WHEN secs <= 120 THEN 'datetime_close' END) AS evidence FROM mc0 WHERE m OR (gap = 0 AND secs <= 120)),
-ex AS (SELECT * FROM mc WHERE phase = 'exact'),
-sp AS (SELECT * FROM ex UNION ALL SELECT * FROM mc WHERE phase = 'fuzzy' AND left_raw_id NOT IN (SELECT left_raw_id FROM ex) AND right_raw_id NOT IN (SELECT right_raw_id FROM ex)),
-dg AS (SELECT *, count(*) OVER (PARTITION BY left_raw_id) AS left_degree, count(*) OVER (PARTITION BY right_raw_id) AS right_degree FROM sp)
-"""
-
-
-def _candidates(spark, d):
-    rows = B.observations(spark, d)
-    return matching.match_candidates(rows.where("source <> 'bank'"), rows.where("source = 'bank'"))
-
-
-@query("match_candidates", _MATCH + "SELECT * FROM mc")
-def match_candidates(spark, d):
-    return _candidates(spark, d)
-
-
-@query("exact_suppression", _MATCH + "SELECT * FROM sp")
-def exact_suppression(spark, d):
-    return matching.suppress_fuzzy(_candidates(spark, d))
-
-
-@query("ambiguity", _MATCH + "SELECT left_raw_id, right_raw_id, left_degree, right_degree, left_degree > 1 OR right_degree > 1 AS ambiguous FROM dg")
-def ambiguity(spark, d):
-    return matching.with_degrees(matching.suppress_fuzzy(_candidates(spark, d))).select("left_raw_id", "right_raw_id", "left_degree", "right_degree", "ambiguous")
-
-
-@query("unique_matches", _MATCH + "SELECT left_raw_id, right_raw_id, phase, confidence, evidence FROM dg WHERE left_degree = 1 AND right_degree = 1")
-def unique_matches(spark, d):
-    return matching.unique_matches(matching.suppress_fuzzy(_candidates(spark, d)))
-
-
-@query("competing_candidates", _MATCH + "SELECT DISTINCT c.left_raw_id, c.right_raw_id FROM mc c JOIN ex x ON (c.left_raw_id = x.left_raw_id AND c.right_raw_id <> x.right_raw_id) OR (c.right_raw_id = x.right_raw_id AND c.left_raw_id <> x.left_raw_id)")
-def competing_candidates(spark, d):
-    found = _candidates(spark, d)
-    return matching.competing(found, found.where("phase = 'exact'"))
-
-
-@query("unlinked_raw", _MATCH + "SELECT raw_id, source FROM obs WHERE raw_id NOT IN (SELECT left_raw_id FROM dg WHERE left_degree = 1 AND right_degree = 1) AND raw_id NOT IN (SELECT right_raw_id FROM dg WHERE left_degree = 1 AND right_degree = 1)")
-def unlinked_raw(spark, d):
-    linked = matching.unique_matches(matching.suppress_fuzzy(_candidates(spark, d))).select(F.explode(F.array("left_raw_id", "right_raw_id")).alias("raw_id"))
-    return B.observations(spark, d).join(linked, "raw_id", "left_anti").select("raw_id", "source")
-
-
-@query("aggregate_pairs", f"""WITH {B.SUMS}, f AS (SELECT b.row_id AS bank_id, p.row_id AS first_id, q.row_id AS second_id FROM bk b JOIN py p ON b.account = p.account AND b.day = p.day JOIN py q ON q.account = b.account AND q.day = b.day AND p.row_id < q.row_id AND p.amount + q.amount = b.amount),
-g AS (SELECT *, count(*) OVER (PARTITION BY bank_id) AS solutions FROM f), u AS (SELECT id, count(*) AS uses FROM (SELECT unnest([first_id, second_id]) AS id FROM g WHERE solutions = 1) GROUP BY id)
-SELECT bank_id, first_id, second_id, solutions, coalesce(solutions = 1 AND a.uses = 1 AND c.uses = 1, false) AS "unique" FROM g LEFT JOIN u a ON a.id = first_id LEFT JOIN u c ON c.id = second_id""")
-def aggregate_pairs(spark, d):
-    return matching.subset_sums(*B.sums_sides(spark, d))
-
-
-@query("refund_candidates", f"WITH {B.REFUNDS} SELECT refund_id, original_id, days::INT AS days, kind, ambiguous FROM rc")
-def refund_candidates(spark, d):
-    return refunds.refund_candidates(*B.refund_sides(spark, d)).select("refund_id", "original_id", "days", "kind", "ambiguous")
-
-
-@query("refund_latest", f"WITH {B.REFUNDS} SELECT refund_id, original_id, days::INT AS days FROM rc QUALIFY row_number() OVER (PARTITION BY refund_id ORDER BY days, original_id DESC) = 1")
-def refund_latest(spark, d):
-    return refunds.latest_original(refunds.refund_candidates(*B.refund_sides(spark, d)))
-
-
-@query("refund_capacity", f"""WITH {B.REFUNDS}, c AS (SELECT * FROM rc QUALIFY row_number() OVER (PARTITION BY refund_id ORDER BY days, original_id DESC) = 1)
-SELECT original_id, max(oa) AS amount, sum(ra)::DECIMAL(18,2) AS refunded, count(*) AS n_refunds, sum(ra) <= max(oa) AS fits FROM c GROUP BY original_id""")
-def refund_capacity(spark, d):
-    found = refunds.refund_candidates(*B.refund_sides(spark, d))
-    return refunds.refund_capacity(found, refunds.latest_original(found))
-
-
 @query("exact_text_groups", "SELECT md5(lower(text)) AS fingerprint, min(doc_id) AS first_id, count(*) AS n_rows FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def exact_text_groups(spark, d):
     docs = B.table(spark, d, "documents").where("text is not null")

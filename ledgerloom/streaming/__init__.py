@@ -1 +1 @@
-
+"""Incremental loads."""
