@@ -17,6 +17,11 @@ def text(*cols: str | Column) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in cols])
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def has_any(c: Column, words: list[str]) -> Column:
     return c.rlike("|".join(re.escape(w) for w in words))
 
@@ -32,10 +37,9 @@ def party_name(name: Column, merchants: list[tuple[str, str]] | None = None) ->
     A merchant fits if its key is in the name or the name in the key. merchants replaces the table, as a configuration may.
     """
     bare = F.regexp_replace(F.trim(name), "^(?:" + "|".join(map(re.escape, L.PLATFORM_PREFIXES)) + ")", "")
-    low = F.lower(bare)
     kept = F.regexp_replace(bare, "[^一-龥a-zA-Z0-9]", "")
-    known = [(F.contains(low, F.lit(k)) | F.contains(F.lit(k), low), F.lit(v)) for k, v in (L.MERCHANTS if merchants is None else merchants)]
-    found = first_of(known, F.when(kept == "", L.UNKNOWN_PARTY).otherwise(kept))
+    known = lambda low: first_of([(F.contains(low, F.lit(k)) | F.contains(F.lit(k), low), F.lit(v)) for k, v in (L.MERCHANTS if merchants is None else merchants)], F.lit(None).cast("string"))
+    found = F.coalesce(let(F.lower(bare), known), F.when(kept == "", L.UNKNOWN_PARTY).otherwise(kept))
     return F.when(F.coalesce(name, F.lit("")) == "", L.UNKNOWN_PARTY).otherwise(found)
 
 
@@ -122,9 +126,13 @@ def merchant_tokens(said: Column) -> Column:
     low = F.lower(said)
     named = F.array_compact(F.array(*[F.when(has_any(low, names), F.lit(k)) for k, names in L.MERCHANT_ALIASES.items()]))
     plain = F.regexp_replace(low, "(?U)" + "|".join(L.TOKEN_NOISE) + r"|[\W_]", "")
+    return F.array_distinct(F.concat(named, let(plain, pairs_of)))
+
+
+def pairs_of(plain: Column) -> Column:
+    """Neighbouring characters of a text; a text of one has none."""
     n = F.char_length(plain)
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(plain, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(named, pairs))
+    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(plain, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
 def bank_families(method: Column) -> Column:

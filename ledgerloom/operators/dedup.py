@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
+from ledgerloom.operators.durable import cut
 
 #: Seconds of the exact levels and of the fuzzy one, and the fuzzy level's cents.
 EXACT_SECONDS, FUZZY_SECONDS, FUZZY_CENTS = 120, 86_400, 100
@@ -29,10 +30,13 @@ def fingerprints(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(prints: DataFrame, level: str, allowed: Column) -> DataFrame:
-    each = prints.select("raw_id", "source", "ts", F.explode(f"{level}_all").alias("h"))
-    a, b = (each.select("h", *[F.col(c).alias(f"{s}_{c}") for c in ("raw_id", "source", "ts")]) for s in ("left", "right"))
-    near = X.seconds_between(F.col("left_ts"), F.col("right_ts")) <= EXACT_SECONDS
-    return a.join(b, "h").where((F.col("left_raw_id") < F.col("right_raw_id")) & near & allowed).select("left_raw_id", "right_raw_id").distinct()
+    """Rows of one hash within 120 seconds: the join is on the hash and a bucket of so many seconds, so a frequent hash spreads over the day."""
+    secs = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    each = prints.select("raw_id", "source", secs.alias("s"), F.floor(secs / EXACT_SECONDS).alias("cell"), F.explode(F.array_distinct(f"{level}_all")).alias("h"))
+    a, b = (each.select("h", "cell", *[F.col(c).alias(f"{p}_{c}") for c in ("raw_id", "source", "s")]) for p in ("left", "right"))
+    a = a.withColumn("cell", F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)])))
+    near = F.abs(F.col("left_s") - F.col("right_s")) <= EXACT_SECONDS
+    return a.join(b, ["h", "cell"]).where((F.col("left_raw_id") < F.col("right_raw_id")) & near & allowed).select("left_raw_id", "right_raw_id").distinct()
 
 
 def l1_pairs(prints: DataFrame) -> DataFrame:
@@ -47,20 +51,33 @@ def l2_pairs(prints: DataFrame) -> DataFrame:
     return _pairs(prints, "l2", (both == pairs[0]) | (both == pairs[1]) | (both == pairs[2]))
 
 
-def l3_best(prints: DataFrame) -> DataFrame:
+#: Radii in seconds that l3_best looks in, one after the other.
+RADII = (60, 3_600, FUZZY_SECONDS)
+
+
+def l3_best(prints: DataFrame, radii: tuple[int, ...] = RADII) -> DataFrame:
     """For each row that has one, its nearest other row in time: within a day and 100 cents (ties: fewest cents, then id).
 
-    Each row looks into its own bucket of days and cents and the neighbouring ones.
+    Each row looks into its own bucket of time and cents and the neighbouring ones. Small radii come first: a row that finds one there
+    has its nearest, and only the others look further, so a popular amount on a busy day never meets itself as a whole.
     """
     secs = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    base = prints.select("raw_id", "cents", secs.alias("s"), F.floor(secs / FUZZY_SECONDS).alias("day"), F.floor(F.col("cents") / (FUZZY_CENTS + 1)).alias("bucket"))
-    shift = lambda c: F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)]))
-    look = base.select("raw_id", "cents", "s", shift("day").alias("day"), "bucket").select("raw_id", "cents", "s", "day", shift("bucket").alias("bucket"))
-    other = base.select(F.col("raw_id").alias("other_id"), F.col("cents").alias("c2"), F.col("s").alias("s2"), "day", "bucket")
-    gap, off = F.abs(F.col("s") - F.col("s2")), F.abs(F.col("cents") - F.col("c2"))
-    near = look.join(other, ["day", "bucket"]).where((F.col("raw_id") != F.col("other_id")) & (gap <= FUZZY_SECONDS) & (off <= FUZZY_CENTS))
-    best = near.groupBy("raw_id").agg(F.min(F.struct(gap.alias("g"), off.alias("o"), "other_id")).alias("b"))
-    return best.select("raw_id", "b.other_id", F.col("b.g").alias("seconds"), F.col("b.o").alias("cents_off"))
+    base = prints.select("raw_id", "cents", secs.alias("s"), F.floor(F.col("cents") / (FUZZY_CENTS + 1)).alias("bucket"))
+    shift = lambda c: F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])).alias(c)
+    left, out = base, None
+    for radius in radii:
+        cell = F.floor(F.col("s") / radius).alias("cell")
+        look = left.select("raw_id", "cents", "s", "bucket", cell).select("raw_id", "cents", "s", "bucket", shift("cell")).select("raw_id", "cents", "s", "cell", shift("bucket"))
+        other = base.select(F.col("raw_id").alias("other_id"), F.col("cents").alias("c2"), F.col("s").alias("s2"), cell, "bucket")
+        gap, off = F.abs(F.col("s") - F.col("s2")), F.abs(F.col("cents") - F.col("c2"))
+        near = look.join(other, ["cell", "bucket"]).where((F.col("raw_id") != F.col("other_id")) & (gap <= radius) & (off <= FUZZY_CENTS))
+        best = near.groupBy("raw_id").agg(F.min(F.struct(gap.alias("g"), off.alias("o"), "other_id")).alias("b"))
+        found = best.select("raw_id", "b.other_id", F.col("b.g").alias("seconds"), F.col("b.o").alias("cents_off"))
+        if radius != radii[-1]:
+            found = cut(found)
+            left = left.join(found, "raw_id", "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def dedup_report(prints: DataFrame, exact: DataFrame) -> DataFrame:

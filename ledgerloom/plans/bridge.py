@@ -72,13 +72,13 @@ lg AS (SELECT row_id, source, ts, (CASE WHEN kind = 'EXPENSE' THEN -total ELSE t
 def sums_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(banks, payments) of events: row_id, account, day, amount; purchases are twice their unit, clicks once."""
     v = F.floor(F.col("value")).cast("int") % 6 + 1
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), (F.col("user_id") % 10).alias("account"), F.col("ts").cast("date").alias("day"), v.alias("v"), "event_type")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.col("user_id").alias("account"), F.col("ts").cast("date").alias("day"), v.alias("v"), "event_type")
     pick = lambda t, n: rows.where(F.col("event_type") == t).select("row_id", "account", "day", (F.col("v") * n).cast(MONEY).alias("amount"))
     return pick("purchase", 2), pick("click", 1)
 
 
 SUMS = """
-e AS (SELECT event_id AS row_id, user_id % 10 AS account, ts::DATE AS day, floor(value)::INT % 6 + 1 AS v, event_type FROM events),
+e AS (SELECT event_id AS row_id, user_id AS account, ts::DATE AS day, floor(value)::INT % 6 + 1 AS v, event_type FROM events),
 bk AS (SELECT row_id, account, day, 2 * v AS amount FROM e WHERE event_type = 'purchase'),
 py AS (SELECT row_id, account, day, v AS amount FROM e WHERE event_type = 'click')
 """

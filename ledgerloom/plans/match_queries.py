@@ -201,11 +201,11 @@ def engine_report(spark, d):
     return engine.report(rows, engine.resolve(rows))
 
 
-@query("transfer_pairs", f"""WITH {B.OBSERVATIONS}, t AS (SELECT raw_id, raw_id[2:]::BIGINT AS k, source, ts, epoch(ts) AS s, CASE WHEN raw_id[2:]::BIGINT % 4 = 0 THEN -amount ELSE amount END AS amount FROM obs), u AS (SELECT *, k % 23 AS owner, floor(abs(amount) * 100) AS cents, k % 7 = 3 AND source <> 'bank' AS tr FROM t)
+@query("transfer_pairs", f"""WITH {B.OBSERVATIONS}, t AS (SELECT raw_id, raw_id[2:]::BIGINT AS k, source, ts, epoch(ts) AS s, CASE WHEN raw_id[2:]::BIGINT % 4 = 0 THEN -amount ELSE amount END AS amount FROM obs), u AS (SELECT *, 1 AS owner, floor(abs(amount) * 100) AS cents, k % 7 = 3 AND source <> 'bank' AS tr FROM t)
 SELECT a.raw_id AS out_id, b.raw_id AS in_id FROM u a JOIN u b ON a.owner = b.owner AND a.cents = b.cents AND a.amount < 0 AND b.amount >= 0 AND abs(date_diff('day', a.ts::DATE, b.ts::DATE)) <= 1 AND abs(a.s - b.s) <= 86400 AND (a.source = 'bank' OR b.source = 'bank') AND (a.tr OR b.tr)""")
 def transfer_pairs(spark, d):
     k = F.expr("cast(substring(row_id, 2) as bigint)")
-    return engine.transfer_pairs(_engine_rows(spark, d).withColumn("amount", F.when(k % 4 == 0, -F.col("amount")).otherwise(F.col("amount"))))
+    return engine.transfer_pairs(_engine_rows(spark, d).withColumn("owner", F.lit("1")).withColumn("amount", F.when(k % 4 == 0, -F.col("amount")).otherwise(F.col("amount"))))
 
 
 _FACTS = f"""WITH {ctes('canonicals', 'relationships', 'classifications')}, pn AS (SELECT canonical_id FROM classifications WHERE status = 'pending' UNION SELECT from_id FROM relationships WHERE status = 'pending'),

@@ -262,12 +262,12 @@ def _queue(name, table, id_col, where, order, sql_order):
 
     @query(name, f"WITH {ctes(table)} SELECT {id_col}, {place}::INT AS place FROM {table} WHERE {where} QUALIFY {place} BETWEEN 21 AND 40")
     def run(spark, d):
-        return records.queue(load(spark, d, table).where(where), order, 2, 20).select(id_col, "place")
+        return records.queue(load(spark, d, table).where(where), order(), 2, 20).select(id_col, "place")
 
 
-_queue("match_queue", "candidates", "candidate_id", "status = 'pending'", [F.col("is_ambiguous").desc(), F.col("confidence").desc(), F.col("created_at").asc(), F.col("candidate_id").asc()], "is_ambiguous DESC, confidence DESC, created_at, candidate_id")
-_queue("refund_queue", "relationships", "relationship_id", "status = 'pending'", [F.col("is_ambiguous").desc(), F.col("confidence").desc(), F.col("created_at").asc(), F.col("relationship_id").asc()], "is_ambiguous DESC, confidence DESC, created_at, relationship_id")
-_queue("classification_queue", "classifications", "candidate_id", "status = 'pending'", [F.col("confidence").desc(), F.col("created_at").asc(), F.col("candidate_id").asc()], "confidence DESC, created_at, candidate_id")
+_queue("match_queue", "candidates", "candidate_id", "status = 'pending'", lambda: [F.col("is_ambiguous").desc(), F.col("confidence").desc(), F.col("created_at").asc(), F.col("candidate_id").asc()], "is_ambiguous DESC, confidence DESC, created_at, candidate_id")
+_queue("refund_queue", "relationships", "relationship_id", "status = 'pending'", lambda: [F.col("is_ambiguous").desc(), F.col("confidence").desc(), F.col("created_at").asc(), F.col("relationship_id").asc()], "is_ambiguous DESC, confidence DESC, created_at, relationship_id")
+_queue("classification_queue", "classifications", "candidate_id", "status = 'pending'", lambda: [F.col("confidence").desc(), F.col("created_at").asc(), F.col("candidate_id").asc()], "confidence DESC, created_at, candidate_id")
 
 
 @query("deleted_page", f"WITH {ctes('canonicals', 'deletions')} SELECT canonical_id, amount, deleted_by, row_number() OVER (ORDER BY deleted_at DESC, canonical_id)::INT AS place FROM deletions JOIN canonicals USING (canonical_id) QUALIFY place <= 20")
