@@ -198,8 +198,8 @@ def _sanitised(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with its own columns, its texts masked, generalised or shortened at the found spans. Null texts stay null."""
-    spans = personal_data(docs).where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("found").alias("_found")).distinct()
+    spans = personal_data(docs).where(F.size("found") > 0).select("doc_id", "th", "found").distinct()
     spans = checked_broadcast(materialize(spans, "spans"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_th"))
-    clean = F.pandas_udf(_sanitised, "string")
-    return docs.join(spans, same, "left").withColumn("text", clean("text", "_found")).select(*docs.columns)
+    same = docs["doc_id"].eqNullSafe(spans["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == spans["th"])
+    clean = F.pandas_udf(_sanitised, "string")(docs["text"], spans["found"]).alias("text")
+    return docs.join(spans, same, "left").select(*[clean if c == "text" else docs[f"`{c}`"] for c in docs.columns])

@@ -20,44 +20,54 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document."""
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document, by the classifier fitted on the labels."""
     docs = read(spark, sf_dir, "documents")
     return quality_classifier.graded(docs, quality_classifier.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measurements, failed rules as bits, and version 1's verdict."""
     rows = quality_rules.apply_policy(quality_rules.ledger(read(spark, sf_dir, "documents")), quality_rules.V1)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts, base digest and all spans."""
     return pii.span_digest(read(spark, sf_dir, "documents"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
     return url_filters.url_verdicts(read(spark, sf_dir, "pages"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard, slot and grown shard of every document."""
     return sharding.shard_rows(read(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mix of the sources."""
     return mixing.mix_order(read(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark windows hit."""
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings that repeat."""
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
 

@@ -41,6 +41,8 @@ def frequent_lengths(path: str, table_size: int = 50_000) -> dict[str, int]:
     The size is bounded by the vocabulary, whatever the corpus.
     """
     tok = _tokenizer(path)
+    if tok.normalizer is not None or not re.search(r"ByteLevel\(add_prefix_space=False.*use_regex=True", str(tok.pre_tokenizer)):
+        raise ValueError("only byte-level tokenizers that split by their own pattern, without normalising or a prefix space, are counted by chunks")
     texts = (tok.decode([i], skip_special_tokens=False) for i in range(min(table_size, tok.get_vocab_size())))
     chunks = sorted({t[1:] for t in texts if len(t) > 1 and t[0] == " " and not any(c.isspace() for c in t[1:]) and "�" not in t})
     found = tok.encode_batch([" " + c for c in chunks], add_special_tokens=False)

@@ -391,6 +391,11 @@ def test_distrust_reaches_the_end_of_a_long_chain(spark):
     assert all(got[100 + i]["distrust"] == 0 and got[100 + i]["verdict"] == "allow" for i in range(60))
 
 
+def test_sanitise_keeps_clashing_columns(docs):
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns and _found(out.drop("text"), "doc_id", "_id", "th", "key") == _found(docs, "doc_id", "_id", "th", "key")
+
+
 def test_terms_far_from_their_entity(spark):
     rng = random.Random(6)
     told = [(i, f"Zorblax {_plain(rng, 40)} z@secret.example.org {_plain(rng, 40)} Zorblax") for i in range(6)]
