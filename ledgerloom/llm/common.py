@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 48 << 20
+#: A key with more than this part of all rows counts as hot: 1/HOT.
+HOT = 10_000
 #: Rows of one Arrow batch handed to Python; texts are long, so batches stay small.
 ARROW_ROWS = 512
 
@@ -59,6 +61,19 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def with_keys(rows: DataFrame, counted: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """The rows whose key columns on are in counted (on and n, the rows of each key; one row a key, no nulls).
+
+    A key that holds more than 1/HOT of the counted rows would be one task's work in a shuffle. There are fewer than HOT such
+    keys whatever the input, so they are broadcast, and their rows stay where they are; the other keys shuffle.
+    """
+    counted = materialize(counted.select(*on, n), "keys")
+    least = (counted.agg(F.sum(n)).first()[0] or 0) / HOT
+    hot = F.broadcast(counted.where(F.col(n) > least).select(*on))
+    rest = counted.where(F.col(n) <= least).select(*on)
+    return rows.join(hot, on, "left_semi").union(rows.join(hot, on, "left_anti").join(rest, on, "left_semi"))
+
+
 def renamed(name: str, *tables: DataFrame) -> str:
     """name, or name with underscores, so that no column of the tables clashes with it, whatever its case."""
     taken = {c.lower() for t in tables for c in t.columns}

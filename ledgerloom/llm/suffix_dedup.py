@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize, small_batches
+from .common import checked_broadcast, materialize, small_batches, with_keys
 
 #: Bytes of the strings that count, and of the prefix that picks and first ranks a suffix.
 LENGTH, PREFIX = 200, 64
@@ -164,17 +164,17 @@ def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _classes(rows: DataFrame, rank: str, *more: str) -> tuple[DataFrame, DataFrame]:
     """(classes, open): rows grouped by rank and s1, s2 with count c and one row r of each; and the ranks held by
-    several classes, of which one has a single row that is still undecided."""
+    several classes (their number is n), of which one has a single row that is still undecided."""
     r = F.min(F.struct("doc_id", "th", "lo", "hi", *more)).alias("r")
     classes = materialize(rows.groupBy(rank, "s1", "s2").agg(F.count("*").alias("c"), F.bool_or("solo").alias("solo"), r), "suffix-classes")
     undecided = F.bool_or((F.col("c") == 1) & F.col("solo"))
-    return classes, classes.groupBy(rank).agg(F.count("*").alias("n"), undecided.alias("u")).where("n > 1 and u").select(rank)
+    return classes, classes.groupBy(rank).agg(F.count("*").alias("n"), undecided.alias("u")).where("n > 1 and u").select(rank, "n")
 
 
 def _with_spans(rows: DataFrame, classes: DataFrame, undecided: DataFrame, rank: str, *more: str) -> DataFrame:
     """The texts that hold one row of each class of an undecided rank, with those rows as spans."""
     span = F.struct("r.lo", "r.hi", *[f"r.{m}" for m in more], ((F.col("c") == 1) & F.col("solo")).alias("solo"))
-    todo = classes.join(undecided, rank).groupBy("r.doc_id", "r.th").agg(F.collect_list(span).alias("spans"))
+    todo = with_keys(classes, undecided, [rank]).groupBy("r.doc_id", "r.th").agg(F.collect_list(span).alias("spans"))
     todo = checked_broadcast(materialize(todo, "suffix-open"))
     texts = rows.alias("d").join(todo.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.th") == F.col("t.th")))
     return texts.select("d.doc_id", "d.th", "d.text", "t.spans")
@@ -183,19 +183,19 @@ def _with_spans(rows: DataFrame, classes: DataFrame, undecided: DataFrame, rank:
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """(doc_id, th, lo, hi) over rows (doc_id, th, text): runs of starts whose windows also start anywhere else."""
     owned = materialize(rows.mapInArrow(_owner_rows, _OWNED), "suffixes")
-    shared = owned.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
-    left = materialize(owned.join(shared, "fp").withColumn("solo", F.lit(True)), "suffixes-shared")
+    shared = owned.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1")
+    left = materialize(with_keys(owned, shared, ["fp"], "c").withColumn("solo", F.lit(True)), "suffixes-shared")
     classes, undecided = _classes(left, "fp", "at")
-    whole = left.join(classes.where("c > 1"), ["fp", "s1", "s2"], "left_semi").select("doc_id", "th", "lo", "hi")
+    whole = with_keys(left, classes.where("c > 1"), ["fp", "s1", "s2"], "c").select("doc_id", "th", "lo", "hi")
     # of rows equal in id and text, which share their classes, one text speaks for all
     texts = _with_spans(rows, classes, undecided, "fp", "at")
     cells = materialize(texts.mapInPandas(_cell_rows, _CELLS), "cells")
     classes, undecided = _classes(cells, "core")
-    equal = cells.where("solo").join(classes.where("c > 1"), ["core", "s1", "s2"], "left_semi").select("doc_id", "th", "lo", "hi")
+    equal = with_keys(cells.where("solo"), classes.where("c > 1"), ["core", "s1", "s2"], "c").select("doc_id", "th", "lo", "hi")
     texts = _with_spans(rows, classes, undecided, "core")
     single = materialize(texts.mapInPandas(_window_rows, _WINDOWS), "windows")
-    twice = single.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-    parts = single.where("solo").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "th", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    twice = single.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1")
+    parts = with_keys(single.where("solo"), twice, ["w1", "w2"], "c").select("doc_id", "th", F.col("p").alias("lo"), F.col("p").alias("hi"))
     return whole.unionByName(equal).unionByName(parts)
 
 
