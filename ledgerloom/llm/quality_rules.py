@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rule names by bit, lowest first. New rules are appended, so old ledgers stay readable.
 RULES = ("few_words", "repeated_windows", "symbols", "repeated_lines", "short_words")
@@ -84,10 +86,19 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return _measured(docs, text).withColumn("fail_bits", bits.cast("long"))
 
 
+def stored_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+    """ledger written as a table and read back: texts are measured once, whatever policies and ablations follow."""
+    return materialize(ledger(docs, text), "quality-ledger")
+
+
 def apply_policy(rows: DataFrame, policy: Policy, base: Policy = BASE) -> DataFrame:
-    """The ledger with base_failed, kept and the policy's version."""
+    """The ledger with base_failed, kept, the policy's version, and only_failure: the one rule without which the row would be kept,
+    null where it is kept anyway or several rules fail."""
     failed = lambda m: F.col("fail_bits").bitwiseAND(F.lit(m)) != 0
-    return rows.withColumns({"base_failed": failed(base.mask), "kept": ~failed(base.mask | policy.mask), "policy": F.lit(policy.version)})
+    mask, only = base.mask | policy.mask, F.lit(None).cast("string")
+    for k, rule in enumerate(RULES):
+        only = F.when(F.col("fail_bits").bitwiseAND(F.lit(mask)) == 1 << k, rule).otherwise(only)
+    return rows.withColumns({"base_failed": failed(base.mask), "kept": ~failed(mask), "policy": F.lit(policy.version), "only_failure": only})
 
 
 def ablations(rows: DataFrame, policy: Policy) -> DataFrame:

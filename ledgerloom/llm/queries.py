@@ -31,9 +31,9 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's measurements, failed rules as bits, and version 1's verdict."""
-    rows = quality_rules.apply_policy(quality_rules.ledger(read(spark, sf_dir, "documents")), quality_rules.V1)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    """Every document's measurements, failed rules as bits, version 1's verdict, and the rule that alone speaks against it, from a stored ledger."""
+    rows = quality_rules.apply_policy(quality_rules.stored_ledger(read(spark, sf_dir, "documents")), quality_rules.V1)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "only_failure")
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,8 @@ b AS (SELECT *, (n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words):
              + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (2 * word_chars < 3 * n_words)::INT AS bits FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept,
-       bits::BIGINT AS fail_bits
+       bits::BIGINT AS fail_bits,
+       CASE bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines' WHEN 16 THEN 'short_words' END AS only_failure
 FROM b
 """
 
