@@ -36,11 +36,11 @@ def _own_dir() -> str:
     return f"file://{tempfile.mkdtemp(prefix='corpus-')}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors cost nothing. options are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

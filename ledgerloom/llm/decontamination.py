@@ -18,6 +18,8 @@ _BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A term that no text holds. It follows the last word of each document, so its position is the document's number of words.
 END = ""
+#: The index has a row per word of the corpus: small row groups, so that a task buffers little of it.
+_WRITTEN = {"parquet.block.size": str(16 << 20)}
 
 
 def words(text: Column) -> Column:
@@ -49,7 +51,7 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """postings of the terms and of END as a stored table, with a non-null key beside doc_id to join on."""
     both = materialize(terms.select("term").union(docs.sparkSession.range(1).select(F.lit(END).alias("term"))).distinct(), "terms")
-    stored = materialize(postings(docs, both), "postings")
+    stored = materialize(postings(docs, both), "postings", **_WRITTEN)
     return stored.withColumn("key", F.coalesce("doc_id", F.lit(0).cast("long")))
 
 
