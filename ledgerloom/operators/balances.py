@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.exprs import MONEY
@@ -33,6 +33,30 @@ def first_break(chain: DataFrame) -> DataFrame:
     return first.select("account", "b.row_id", "b.ts", "b.expected", "b.balance")
 
 
+def repaired_chain(rows: DataFrame, explains: Column, booked: Column | None = None) -> DataFrame:
+    """rows (account, ts, row_id, amount, balance) as a chain that says what it adds: account, ts, row_id, part, amount, balance, nature, unexplained.
+
+    An account's first row becomes its opening anchor, with the balance as amount. Where a balance is off by a gap and `explains`
+    (over the columns of rows, previous and gap) holds, an inferred row of that amount is put before it (part 0), at the time
+    booked (the row's own by default). Other gaps stay, in unexplained. A row lacking amount, balance or the balance before has no
+    gap. A table without rows gives none. One account is one task; accounts are many.
+    """
+    order = Window.partitionBy("account").orderBy("ts", "row_id")
+    before = rows.withColumns({"previous": F.lag("balance").over(order), "first": F.lag(F.lit(1)).over(order).isNull()})
+    gap = before.withColumn("gap", (F.col("balance") - F.col("previous") - F.col("amount")).cast(MONEY))
+    filled = gap.withColumn("filled", F.coalesce((F.col("gap") != 0) & explains, F.lit(False)))
+
+    def line(ts: Column, part: int, amount: Column, balance: Column, nature: str, unexplained: Column) -> Column:
+        return F.struct(ts.alias("ts"), F.lit(part).alias("part"), amount.cast(MONEY).alias("amount"), balance.cast(MONEY).alias("balance"), F.lit(nature).alias("nature"), unexplained.cast(MONEY).alias("unexplained"))
+
+    none, ts, balance = F.lit(None), F.col("ts"), F.col("balance")
+    anchor = line(ts, 1, balance, balance, "anchor", none)
+    added = line(ts if booked is None else booked, 0, F.col("gap"), F.col("previous") + F.col("gap"), "inferred", none)
+    seen = line(ts, 1, F.col("amount"), balance, "observed", F.when(~F.col("filled") & (F.col("gap") != 0), F.col("gap")))
+    lines = F.when(F.col("first"), F.array(anchor)).when(F.col("filled"), F.array(added, seen)).otherwise(F.array(seen))
+    return filled.select("account", "row_id", F.explode(lines).alias("l")).select("account", "l.ts", "row_id", "l.part", "l.amount", "l.balance", "l.nature", "l.unexplained")
+
+
 def latest_balance(rows: DataFrame) -> DataFrame:
     """The last row of each account. An aggregate, not a window: it combines before the shuffle."""
     last = rows.groupBy("account").agg(F.max(F.struct("ts", "row_id", "balance")).alias("b"))

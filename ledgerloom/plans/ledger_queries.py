@@ -34,6 +34,13 @@ def first_break(spark, d):
     return balances.first_break(balances.balance_chain(B.statement(spark, d)))
 
 
+@query("repaired_chain", _CHAIN + """SELECT account, ts, row_id, 1 AS part, CASE WHEN previous IS NULL THEN balance ELSE amount END AS amount, balance,
+CASE WHEN previous IS NULL THEN 'anchor' ELSE 'observed' END AS nature, CASE WHEN balance < expected THEN balance - expected END::DECIMAL(18,2) AS unexplained FROM bc
+UNION ALL SELECT account, ts, row_id, 0, (balance - expected)::DECIMAL(18,2), (previous + balance - expected)::DECIMAL(18,2), 'inferred', NULL FROM bc WHERE balance > expected""")
+def repaired_chain(spark, d):
+    return balances.repaired_chain(B.statement(spark, d), F.col("gap") > 0)
+
+
 @query("latest_balance", f"WITH {B.STATEMENT} SELECT account, row_id, ts, balance FROM st QUALIFY row_number() OVER (PARTITION BY account ORDER BY ts DESC, row_id DESC) = 1")
 def latest_balance(spark, d):
     return balances.latest_balance(B.statement(spark, d))
