@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
+from .fitting import minimise
 
 #: Hashed features.
 FEATURES = 1 << 18
@@ -148,32 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
         w = np.concatenate([x[: len(used)], np.zeros(GRADES - 1)])
         return sum(p.loss for p in parts) + penalty / 2 * w @ w, sum(np.frombuffer(p.grad, np.float32).astype(float) for p in parts) + penalty * w
 
-    x = np.concatenate([np.zeros(len(used)), [-2.0], np.zeros(GRADES - 2)])
-    v, g = value(x)
-    past: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(rounds):
-        d, coef = -g, []
-        for s, y in reversed(past):
-            coef.append(a := (s @ d) / (s @ y))
-            d = d - a * y
-        d = d * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])) if past else d / max(1.0, np.linalg.norm(d))
-        for (s, y), a in zip(past, reversed(coef), strict=True):
-            d = d + (a - (y @ d) / (s @ y)) * s
-        step = 1.0
-        while True:
-            nv, ng = value(x + step * d)
-            if nv <= v + 1e-4 * step * (g @ d) or step < 1e-3:
-                break
-            step /= 2
-        if nv > v:
-            break
-        s, y = step * d, ng - g
-        done = v - nv < 1e-4 * abs(v)
-        x, v, g = x + s, nv, ng
-        if s @ y > 1e-10:
-            past = [*past[-7:], (s, y)]
-        if done:
-            break
+    x = minimise(value, np.concatenate([np.zeros(len(used)), [-2.0], np.zeros(GRADES - 2)]), rounds)
     weights = np.zeros(FEATURES, np.float32)
     weights[used] = x[: len(used)]
     return Model(weights, _thresholds(x[len(used) :]))

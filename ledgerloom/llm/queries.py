@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, mixing, pii, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, url_filters
+from . import decontamination, fill_in_middle, jaccard_join, mixing, pii, quality_classifier, quality_rules, sharding, spelling, suffix_dedup, token_counts, toxicity, url_filters
 from .common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,8 +72,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the documents, some of which lose a letter on the way."""
+    return spelling.variant_groups(spelling.word_counts(read(spark, sf_dir, "documents"), typo_every=31))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with its worst sentence, by the model fitted on the labels that aren't held out."""
+    docs = read(spark, sf_dir, "documents")
+    rows = toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return rows.withColumns({"held_out": toxicity.held_out(), "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's form, piece lengths and checksums of the output and of the text rebuilt from it."""
+    rows = fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents"))
+    sums = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256)}
+    return rows.withColumns(sums).drop("output")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_quality_classifier, op3_quality_rules, op4_personal_data, op5_url_filters, op6_jaccard_join, op7_sharding, op8_mixing, op9_decontamination, op10_suffix_dedup]
+    found = [op1_token_counts, op2_quality_classifier, op3_quality_rules, op4_personal_data, op5_url_filters, op6_jaccard_join, op7_sharding, op8_mixing, op9_decontamination, op10_suffix_dedup, op11_spelling_variants, op12_toxicity, op13_fill_in_middle]
     return {f.__name__: f for f in found}
 
 
@@ -114,6 +134,20 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
+_OP13 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+             [('0x' || h[8 * k + 1 : 8 * k + 8])::BIGINT FOR k IN range(4)] AS d FROM t),
+c AS (SELECT *, len(u) AS n, least(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS a, greatest(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS b,
+             CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a+1:b], '') AS mid, array_to_string(u[b+1:n], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _OP3, "op9_decontamination": _OP9}
+    return {"op3_quality_rules": _OP3, "op9_decontamination": _OP9, "op13_fill_in_middle": _OP13}
