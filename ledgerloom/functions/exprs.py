@@ -39,14 +39,9 @@ def direction(amount: Column) -> Column:
     return F.when(amount < 0, "OUT").otherwise("IN")
 
 
-def plain_party(name: Column) -> Column:
-    """A counterparty without case, blanks and marks; a name that leaves nothing is 'unknown'."""
-    kept = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^一-龥a-z0-9]", "")
-    return F.when(kept == "", "unknown").otherwise(kept)
-
-
 def l1_fingerprint(day: Column, amount: Column, party: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.date_format(day, "yyyy-MM-dd"), cents(amount).cast("string"), plain_party(party), direction(amount)))
+    """The exact hash; party is a normal form (texts.party_name)."""
+    return F.md5(F.concat_ws("|", F.date_format(day, "yyyy-MM-dd"), cents(amount).cast("string"), party, direction(amount)))
 
 
 def l2_fingerprint(day: Column, amount: Column) -> Column:

@@ -10,23 +10,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
+from ledgerloom.functions import texts as T
 from ledgerloom.operators.durable import cut
 
 #: Seconds of the exact levels and of the fuzzy one, and the fuzzy level's cents.
 EXACT_SECONDS, FUZZY_SECONDS, FUZZY_CENTS = 120, 86_400, 100
 
 
+def booking_days(ts: Column, source: Column) -> Column:
+    """The days a row may have been booked on: its own, and the day before for a bank's early rows."""
+    day = ts.cast("date")
+    return F.array_compact(F.array(day, F.when((source == "bank") & (F.hour(ts) < 2), F.date_sub(day, 1))))
+
+
+def level_hashes(rows_ts: Column, source: Column, amount: Column, party: Column) -> tuple[Column, Column]:
+    """(l1, l2): the exact and the loose hash for each booking day; party is the counterparty as it stands in the row."""
+    days, name = booking_days(rows_ts, source), T.party_name(party)
+    return F.transform(days, lambda d: X.l1_fingerprint(d, amount, name)), F.transform(days, lambda d: X.l2_fingerprint(d, amount))
+
+
 def fingerprints(rows: DataFrame) -> DataFrame:
     """rows with cents, l1, l2 (hashes of the row's own day), and l1_all, l2_all with the day before for early bank rows."""
-    day = F.col("ts").cast("date")
-    early = (F.col("source") == "bank") & (F.hour("ts") < 2)
-    days = F.array_compact(F.array(day, F.when(early, F.date_sub(day, 1))))
-    return rows.withColumns({
-        "cents": X.cents(F.col("amount")),
-        "l1": X.l1_fingerprint(day, F.col("amount"), F.col("party")), "l2": X.l2_fingerprint(day, F.col("amount")),
-        "l1_all": F.transform(days, lambda d: X.l1_fingerprint(d, F.col("amount"), F.col("party"))),
-        "l2_all": F.transform(days, lambda d: X.l2_fingerprint(d, F.col("amount"))),
-    })
+    l1, l2 = level_hashes(F.col("ts"), F.col("source"), F.col("amount"), F.col("party"))
+    rows = rows.withColumns({"cents": X.cents(F.col("amount")), "l1_all": l1, "l2_all": l2})
+    return rows.withColumns({"l1": F.get("l1_all", F.lit(0)), "l2": F.get("l2_all", F.lit(0))})
 
 
 def _pairs(prints: DataFrame, level: str, allowed: Column) -> DataFrame:
@@ -51,35 +58,43 @@ def l2_pairs(prints: DataFrame) -> DataFrame:
     return _pairs(prints, "l2", (both == pairs[0]) | (both == pairs[1]) | (both == pairs[2]))
 
 
-#: Radii in seconds that l3_best looks in, one after the other.
+#: Radii in seconds that nearest looks in, one after the other.
 RADII = (60, 3_600, FUZZY_SECONDS)
 
 
-def l3_best(prints: DataFrame, radii: tuple[int, ...] = RADII) -> DataFrame:
-    """For each row that has one, its nearest other row in time: within a day and 100 cents (ties: fewest cents, then id).
+def nearest(asks: DataFrame, offers: DataFrame, ties: list[Column], allowed: Column, keys: tuple[str, ...] = (), radii: tuple[int, ...] = RADII) -> DataFrame:
+    """asks' row_id with other_id, seconds and cents_off of its nearest offer in time, within a day and 100 cents, for each that has one.
 
-    Each row looks into its own bucket of time and cents and the neighbouring ones. Small radii come first: a row that finds one there
-    has its nearest, and only the others look further, so a popular amount on a busy day never meets itself as a whole.
+    asks: keys, row_id, cents, s (seconds), more; offers: keys, other_id, c2, s2, more. ties order offers as near as each other, allowed
+    says which may be taken. Each ask looks into its own bucket of time and cents and the neighbouring ones. Small radii come first: an ask
+    that finds one there has its nearest, and only the others look further, so a popular amount on a busy day never meets itself as a whole.
     """
-    secs = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    base = prints.select("raw_id", "cents", secs.alias("s"), F.floor(F.col("cents") / (FUZZY_CENTS + 1)).alias("bucket"))
-    shift = lambda c: F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])).alias(c)
-    left, out = base, None
+    bucket = lambda c: F.floor(F.col(c) / (FUZZY_CENTS + 1))
+    shift = lambda c: F.explode(F.array(*[c + d for d in (-1, 0, 1)]))
+    gap, off = F.abs(F.col("s") - F.col("s2")), F.abs(F.col("cents") - F.col("c2"))
+    left, out = asks, None
     for radius in radii:
-        cell = F.floor(F.col("s") / radius).alias("cell")
-        look = left.select("raw_id", "cents", "s", "bucket", cell).select("raw_id", "cents", "s", "bucket", shift("cell")).select("raw_id", "cents", "s", "cell", shift("bucket"))
-        other = base.select(F.col("raw_id").alias("other_id"), F.col("cents").alias("c2"), F.col("s").alias("s2"), cell, "bucket")
-        gap, off = F.abs(F.col("s") - F.col("s2")), F.abs(F.col("cents") - F.col("c2"))
-        near = look.join(other, ["cell", "bucket"]).where((F.col("raw_id") != F.col("other_id")) & (gap <= radius) & (off <= FUZZY_CENTS))
-        best = near.groupBy("raw_id").agg(F.min(F.struct(gap.alias("g"), off.alias("o"), "other_id")).alias("b"))
-        found = best.select("raw_id", "b.other_id", F.col("b.g").alias("seconds"), F.col("b.o").alias("cents_off"))
+        look = left.withColumn("cell", shift(F.floor(F.col("s") / radius))).withColumn("bucket", shift(bucket("cents")))
+        other = offers.withColumns({"cell": F.floor(F.col("s2") / radius), "bucket": bucket("c2")})
+        near = look.join(other, [*keys, "cell", "bucket"]).where((gap <= radius) & (off <= FUZZY_CENTS) & allowed)
+        best = near.groupBy(*keys, "row_id").agg(F.min(F.struct(gap.alias("g"), *[t.alias(f"t{k}") for k, t in enumerate(ties)], "other_id", off.alias("o"))).alias("b"))
+        found = best.select(*keys, "row_id", "b.other_id", F.col("b.g").alias("seconds"), F.col("b.o").alias("cents_off"))
         if radius != radii[-1]:
             found = cut(found)
-            left = left.join(found, "raw_id", "left_anti")
+            left = left.join(found, [*keys, "row_id"], "left_anti")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def l3_best(prints: DataFrame, radii: tuple[int, ...] = RADII) -> DataFrame:
+    """For each row that has one, its nearest other row in time: within a day and 100 cents (ties: fewest cents, then id)."""
+    secs = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    asks = prints.select(F.col("raw_id").alias("row_id"), "cents", secs.alias("s"))
+    offers = asks.toDF("other_id", "c2", "s2")
+    off = F.abs(F.col("cents") - F.col("c2"))
+    return nearest(asks, offers, [off], F.col("row_id") != F.col("other_id"), radii=radii).withColumnRenamed("row_id", "raw_id")
+
+
 def dedup_report(prints: DataFrame, exact: DataFrame) -> DataFrame:
     """Per source: rows, rows that an exact pair makes duplicates (of two, the lower priority, then the later id), and rest.
 

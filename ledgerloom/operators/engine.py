@@ -1,47 +1,68 @@
-"""The sequential deduplication of one person's rows: own transfers, then exact, loose and fuzzy matches with earlier rows, in order of arrival."""
+"""The sequential deduplication of one person's rows, settled by islands: own transfers, then exact, loose and fuzzy matches with earlier rows, in order of arrival.
+
+A row's exact and loose matches have its cents, its direction and a time within 120 seconds of it, and only they decide whether later rows
+may match it in turn. So order matters only inside an island: rows of one owner, amount and direction without a gap of more than 120
+seconds. Islands are a few rows each and are settled in order, each in one group. The fuzzy level changes nothing for later
+rows; it is a search for the nearest earlier row that the islands left open, and runs as joins over buckets of time and cents.
+"""
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
 from ledgerloom.functions import texts as T
 from ledgerloom.functions.lexicon import PRIORITY
-from ledgerloom.operators.dedup import EXACT_SECONDS, FUZZY_CENTS, FUZZY_SECONDS
+from ledgerloom.operators.dedup import EXACT_SECONDS, level_hashes, nearest
+from ledgerloom.operators.durable import cut
+from ledgerloom.operators.grouped import map_groups
 
-RESULT = "row_id string, status string, level string, duplicate_of string, kept boolean"
 _LOOSE = {frozenset(p) for p in (("alipay", "bank"), ("wechat", "bank"), ("alipay", "wechat"))}
+#: Seconds, and days, of one cell in which island borders are first looked for.
+CELL_SECONDS, CELL_DAYS = 86_400, 365
 
 
-def prepared(rows: DataFrame, incremental: bool = False) -> DataFrame:
-    """What the engine looks at: owner, row_id, seq, source, secs, day, cents, out, transfer, rank, said_length and the hashes of both levels."""
+def prepared(rows: DataFrame) -> DataFrame:
+    """What the engine looks at: owner, row_id, seq, source, secs, day, cents, out, party, transfer, rank, said_length and the hashes of both levels."""
     day = F.col("ts").cast("date")
-    early = (F.col("source") == "bank") & (F.hour("ts") < 2)
-    days = F.array_compact(F.array(day, F.when(early, F.date_sub(day, 1))))
-    party = T.party_name(F.col("party"))
     rank = T.first_of([(F.col("source") == s, F.lit(p)) for s, p in PRIORITY], F.lit(0))
-    hashes = lambda *more: F.transform(days, lambda d: F.md5(F.concat_ws("|", F.date_format(d, "yyyy-MM-dd"), X.cents(F.col("amount")).cast("string"), *more, X.direction(F.col("amount")))))
+    l1, l2 = level_hashes(F.col("ts"), F.col("source"), F.col("amount"), F.col("party"))
     return rows.select(
-        "owner", "row_id", "seq", "source", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("secs"), F.datediff(day, F.lit("1970-01-01")).alias("day"), X.cents(F.col("amount")).alias("cents"), (F.col("amount") < 0).alias("out"),
-        T.is_transfer(F.col("source"), T.text("description", "party")).alias("transfer"), rank.alias("rank"), F.char_length(T.text("party", "description")).alias("said_length"), hashes(party).alias("l1"), hashes().alias("l2"),
+        "owner", "row_id", "seq", "source", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("secs"), F.datediff(day, F.lit("1970-01-01")).alias("day"), X.cents(F.col("amount")).alias("cents"), (F.col("amount") < 0).alias("out"), T.party_name(F.col("party")).alias("party"),
+        T.is_transfer(F.col("source"), T.text("description", "party")).alias("transfer"), rank.alias("rank"), F.char_length(T.text("party", "description")).alias("said_length"), l1.alias("l1"), l2.alias("l2"),
     )
 
 
-def _engine(rows: pd.DataFrame, seen: set[str] | None = None) -> Iterator[list]:
-    """One result per row in order of arrival. A row that matched exactly or loosely is no candidate for later rows; its partner may lose to it."""
-    l1, l2, by_day, results = defaultdict(list), defaultdict(list), defaultdict(list), {}
-    for r in rows.sort_values("seq").itertuples():
-        out = results[r.row_id] = [r.row_id, "INTERNAL_TRANSFER" if r.transfer else "UNIQUE", None, None, True]
-        if seen is not None:
-            if seen & set(r.l1):
-                out[1], out[4] = "SKIPPED", False
-                continue
-            seen.update(r.l1)
+def with_islands(rows: DataFrame, keys: list[str], at: str, gap: int, span: int, name: str = "island") -> DataFrame:
+    """rows with a number that changes, within equal keys, wherever the values of column at leave a gap of more than `gap`.
+
+    Windows run over cells of `span` (at least `gap`), so no task takes a key's rows as a whole; then the cells' edges, a row each, say
+    which islands go on in the next cell. A row without at is an island by itself.
+    """
+    cell, w = F.floor(F.col(at) / span), Window.partitionBy(*keys, "_cell").orderBy(at)
+    inner = rows.withColumn("_cell", cell).withColumn("_cut", F.coalesce((F.col(at) - F.lag(at).over(w) > gap).cast("long"), F.lit(1).cast("long")))
+    inner = inner.withColumn("_nth", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = inner.groupBy(*keys, "_cell").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.max("_nth").alias("n"))
+    over = Window.partitionBy(*keys).orderBy("_cell")
+    goes_on = F.coalesce((F.col("lo") - F.lag("hi").over(over) <= gap).cast("long"), F.lit(0).cast("long"))
+    edges = edges.withColumn("_on", goes_on).withColumn("_base", F.sum(F.col("n") - F.col("_on")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"e.{k}")) for k in (*keys, "_cell")]
+    joined = inner.alias("r").join(edges.select(*keys, "_cell", "_base").alias("e"), same)
+    return joined.select(*[f"r.`{c}`" for c in rows.columns], (F.col("r._nth") + F.col("e._base")).alias(name))
+
+
+def _settled(rows: list) -> Iterator[list]:
+    """One island in order of arrival: row_id, level and duplicate_of of rows that found a match or lost to one, whether kept, and whether later rows may match them.
+
+    A row that matched is no candidate for later rows; its partner may lose to it and stays one.
+    """
+    l1, l2, out = defaultdict(list), defaultdict(list), {}
+    for r in rows:
+        mine = out[r.row_id] = [r.row_id, None, None, True, True]
         if not r.transfer:
             near = lambda c: abs(c.secs - r.secs) <= EXACT_SECONDS  # noqa: B023, E731
             found = next(((c, "L1") for h in r.l1 for c in l1[h] if c.source != r.source and near(c)), None)
@@ -49,37 +70,71 @@ def _engine(rows: pd.DataFrame, seen: set[str] | None = None) -> Iterator[list]:
             if found:
                 other, level = found
                 wins = (r.rank, r.said_length) >= (other.rank, other.said_length)
-                loser, winner = (results[other.row_id], r.row_id) if wins else (out, other.row_id)
-                out[2] = level
-                loser[1:] = ["DUPLICATE", level, winner, False]
+                loser, winner = (out[other.row_id], r.row_id) if wins else (mine, other.row_id)
+                mine[1], mine[4] = level, False
+                loser[1:4] = [level, winner, False]
                 continue
-            fuzzy = [c for d in (-1, 0, 1) for c in by_day[r.day + d] if abs(c.secs - r.secs) <= FUZZY_SECONDS and abs(c.cents - r.cents) <= FUZZY_CENTS]
-            if fuzzy:
-                out[1:4] = ["REVIEW", "L3", min(fuzzy, key=lambda c: abs(c.secs - r.secs)).row_id]  # noqa: B023
         for h in r.l1:
             l1[h].append(r)
         for h in r.l2:
             l2[h].append(r)
-        by_day[r.day].append(r)
-    yield from results.values()
+    yield from out.values()
+
+
+def _unseen(rows: list) -> Iterator[tuple]:
+    """The ids of an island's rows none of whose exact hashes is known or came before."""
+    met: set[str] = set()
+    for r in rows:
+        if not r.known and not met & set(r.l1):
+            met.update(r.l1)
+            yield (r.row_id,)
+
+
+def _new_rows(ready: DataFrame, seen: DataFrame) -> DataFrame:
+    """The rows that an incremental load takes. Rows share exact hashes only if cents, direction, party and a booking day are the same."""
+    known = seen.select("owner", "h").distinct()
+    hit = ready.select("owner", "row_id", F.explode("l1").alias("h")).join(known, ["owner", "h"], "left_semi").select("owner", "row_id").distinct()
+    keys = ["owner", "cents", "out", "party"]
+    flagged = ready.join(hit.withColumn("known", F.lit(True)), ["owner", "row_id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    flagged = with_islands(flagged, keys, "day", 1, CELL_DAYS).withColumn("size", F.count("*").over(Window.partitionBy(*keys, "island")))
+    flagged = cut(flagged.select(*ready.columns, "known", "island", "size"))
+    several = map_groups(flagged.where("size > 1").select(*keys, "island", "row_id", "seq", "l1", "known"), [*keys, "island"], ["seq"], _unseen, f"row_id {dict(ready.dtypes)['row_id']}")
+    kept = flagged.where("size = 1 and not known").select("row_id").union(several)
+    return flagged.join(kept, "row_id", "left_semi").select(*ready.columns)
+
+
+def islands(rows: DataFrame) -> DataFrame:
+    """(owner, cents, out, island, n_rows) of rows as for resolve: the groups that are settled in order."""
+    keys = ["owner", "cents", "out"]
+    return with_islands(prepared(rows).select(*keys, "secs"), keys, "secs", EXACT_SECONDS, CELL_SECONDS).groupBy(*keys, "island").agg(F.count("*").alias("n_rows"))
 
 
 def resolve(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """(row_id, status, level, duplicate_of, kept), one row per input row (owner, row_id, seq, source, ts, amount, party, description).
+    """(row_id, status, level, duplicate_of, kept), one row per input row (owner, row_id, seq, source, ts, amount, party, description; ids and seqs differ, ts and amount are there).
 
     status: INTERNAL_TRANSFER, UNIQUE, DUPLICATE, REVIEW, or SKIPPED where the row's exact hash is in seen (owner, h) or came before in
-    this run of an incremental load. Each row is held against earlier ones alone, so an owner's rows are one task: the rows of
-    one person's ledger, which is what the data is to be keyed by. A higher-priority later row takes the earlier one's place.
+    this run of an incremental load. Each row is held against earlier ones alone. A higher-priority later row takes the earlier one's
+    place. An empty table gives an empty one. The largest group is an island: equal amounts of one owner in one direction at most two minutes apart.
     """
     ready = prepared(rows)
+    taken = cut(ready if seen is None else _new_rows(ready, seen))
+    keys, kind = ["owner", "cents", "out"], dict(ready.dtypes)["row_id"]
+    parted = with_islands(taken, keys, "secs", EXACT_SECONDS, CELL_SECONDS).withColumn("size", F.count("*").over(Window.partitionBy(*keys, "island")))
+    several = parted.where("size > 1").select(*keys, "island", "row_id", "seq", "source", "secs", "transfer", "rank", "said_length", "l1", "l2")
+    settled = map_groups(several, [*keys, "island"], ["seq"], _settled, f"row_id {kind}, level string, duplicate_of {kind}, kept boolean, open boolean")
+    # rows of islands of one have nothing to match
+    judged = cut(taken.join(settled, "row_id", "left").select("owner", "row_id", "seq", "secs", "day", "cents", "transfer", "level", "duplicate_of", F.coalesce("kept", F.lit(True)).alias("kept"), F.coalesce("open", F.lit(True)).alias("open")))
+    asks = judged.where("not transfer and open and duplicate_of is null").select("owner", "row_id", "cents", F.col("secs").alias("s"), "seq", "day")
+    offers = judged.where("open").select("owner", F.col("row_id").alias("other_id"), F.col("cents").alias("c2"), F.col("secs").alias("s2"), F.col("seq").alias("q2"), F.col("day").alias("d2"))
+    # rows as near as each other: of the day before, the same day, the day after, then in order of arrival
+    fuzzy = nearest(asks, offers, [F.col("d2") - F.col("day"), F.col("q2")], F.col("q2") < F.col("seq"), ("owner",)).select("row_id", F.col("other_id").alias("near_id"))
+    status: Column = F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE").when(F.col("transfer"), "INTERNAL_TRANSFER").when(F.col("near_id").isNotNull(), "REVIEW").otherwise("UNIQUE")
+    level = F.coalesce("level", F.when(F.col("near_id").isNotNull(), "L3"))
+    out = judged.join(fuzzy, "row_id", "left").select("row_id", status.alias("status"), level.alias("level"), F.coalesce("duplicate_of", "near_id").alias("duplicate_of"), "kept")
     if seen is None:
-        return ready.groupBy("owner").applyInPandas(lambda g: pd.DataFrame(list(_engine(g)), columns=[c.split()[0] for c in RESULT.split(", ")]), RESULT)
-    known = seen.select("owner", "h").distinct()
-
-    def both(g: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_engine(g, set(s.h))), columns=[c.split()[0] for c in RESULT.split(", ")])
-
-    return ready.groupBy("owner").cogroup(known.groupBy("owner")).applyInPandas(both, RESULT)
+        return out
+    skipped = ready.join(taken.select("row_id"), "row_id", "left_anti").select("row_id", F.lit("SKIPPED").alias("status"), F.lit(None).cast("string").alias("level"), F.lit(None).cast(kind).alias("duplicate_of"), F.lit(False).alias("kept"))
+    return out.unionByName(skipped)
 
 
 def hashes(rows: DataFrame) -> DataFrame:

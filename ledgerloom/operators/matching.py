@@ -9,6 +9,7 @@ from ledgerloom.functions import exprs as X
 from ledgerloom.functions import texts as T
 from ledgerloom.functions.lexicon import EVIDENCE
 from ledgerloom.operators.durable import cut
+from ledgerloom.operators.grouped import map_groups
 
 
 def _side(rows: DataFrame, p: str) -> DataFrame:
@@ -113,13 +114,44 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+#: Edges of a key up to which its components are found in one group.
+SMALL = 20_000
+
+
+def _united(edges: list) -> list[tuple]:
+    """(node, component) of the edges (a, b) of one key by union-find."""
+    top: dict = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for e in edges:
+        low, high = sorted((find(e.a), find(e.b)))
+        top[high] = low
+    return [(x, find(x)) for x in list(top)]
+
+
+def components_by_key(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """components of edges (key, a, b) where connected nodes share their key, which is not null: keys of at most `small` edges in one step, the others by rounds."""
+    edges = cut(edges.select("key", "a", "b"))
+    large = cut(edges.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > small).select("key"))
+    kind = dict(edges.dtypes)["a"]
+    found = map_groups(edges.join(large, "key", "left_anti"), ["key"], [], _united, f"node {kind}, component {kind}")
+    return found if large.isEmpty() else found.unionByName(components(edges.join(large, "key", "left_semi")))
+
+
 def ordered_matches(candidates: DataFrame, payments: DataFrame, banks: DataFrame) -> DataFrame:
     """(left_raw_id, right_raw_id) of groups of connected candidates whose payments, by time, and bank rows, by place in the statement, pair off one to one.
 
     A group counts only if every pair so made, up to the shorter side, is a candidate with exact day and card or bank; then all its pairs are returned.
     """
     left, right = F.concat(F.lit("L"), "left_raw_id"), F.concat(F.lit("R"), "right_raw_id")
-    nodes = components(candidates.select(left.alias("a"), right.alias("b")))
+    candidates = cut(candidates.select("left_raw_id", "right_raw_id", "evidence"))
+    amounts = payments.select(F.col("raw_id").alias("left_raw_id"), F.col("amount").alias("key"))  # candidates are of one amount
+    nodes = cut(components_by_key(candidates.join(amounts, "left_raw_id").select("key", left.alias("a"), right.alias("b"))))
     side = lambda letter: nodes.where(F.col("node").startswith(letter)).select(F.expr("substring(node, 2)").alias("raw_id"), "component")
     of = Window.partitionBy("component")
     p = side("L").join(payments.select("raw_id", "booking_date", "transaction_time"), "raw_id").select("component", F.col("raw_id").alias("left_raw_id"), F.col("transaction_time").isNotNull().alias("timed"), F.row_number().over(of.orderBy("booking_date", "transaction_time", "raw_id")).alias("nth"))

@@ -108,14 +108,14 @@ def collisions(spark, d):
 _PRINTS = f"""WITH {B.OBSERVATIONS},
 fp AS (SELECT raw_id, source, ts, floor(abs(amount) * 100)::BIGINT AS cents, party, CASE WHEN amount < 0 THEN 'OUT' ELSE 'IN' END AS dir,
   CASE WHEN source = 'bank' AND hour(ts) < 2 THEN [ts::DATE, ts::DATE - 1] ELSE [ts::DATE] END AS days FROM obs),
-l1 AS (SELECT raw_id, source, ts, md5(strftime(unnest(days), '%Y-%m-%d') || '|' || cents || '|' || lower(party) || '|' || dir) AS h FROM fp),
+l1 AS (SELECT raw_id, source, ts, md5(strftime(unnest(days), '%Y-%m-%d') || '|' || cents || '|' || party || '|' || dir) AS h FROM fp),
 l2 AS (SELECT raw_id, source, ts, md5(strftime(unnest(days), '%Y-%m-%d') || '|' || cents || '|' || dir) AS h FROM fp),
 p1 AS (SELECT DISTINCT a.raw_id AS left_raw_id, b.raw_id AS right_raw_id FROM l1 a JOIN l1 b USING (h) WHERE a.raw_id < b.raw_id AND a.source <> b.source AND abs(epoch(a.ts) - epoch(b.ts)) <= 120),
 p2 AS (SELECT DISTINCT a.raw_id AS left_raw_id, b.raw_id AS right_raw_id FROM l2 a JOIN l2 b USING (h) WHERE a.raw_id < b.raw_id AND a.source <> b.source AND abs(epoch(a.ts) - epoch(b.ts)) <= 120)
 """
 
 
-@query("fingerprints", _PRINTS + "SELECT raw_id, cents, md5(strftime(ts::DATE, '%Y-%m-%d') || '|' || cents || '|' || lower(party) || '|' || dir) AS l1, md5(strftime(ts::DATE, '%Y-%m-%d') || '|' || cents || '|' || dir) AS l2, len(days)::INT AS n_days FROM fp")
+@query("fingerprints", _PRINTS + "SELECT raw_id, cents, md5(strftime(ts::DATE, '%Y-%m-%d') || '|' || cents || '|' || party || '|' || dir) AS l1, md5(strftime(ts::DATE, '%Y-%m-%d') || '|' || cents || '|' || dir) AS l2, len(days)::INT AS n_days FROM fp")
 def fingerprints(spark, d):
     return dedup.fingerprints(B.observations(spark, d)).select("raw_id", "cents", "l1", "l2", F.size("l1_all").alias("n_days"))
 

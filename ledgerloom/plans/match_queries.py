@@ -126,19 +126,23 @@ def wallet_effects(spark, d):
     return rows.select("raw_id", reason.alias("reason"), effect.alias("effect"))
 
 
-_REFUNDS = f"""WITH {ctes('canonicals')}, c AS (SELECT canonical_id AS row_id, booking_date AS day, abs(amount) AS amount, amount > 0 AS inc, tx_type, canonical_id, regexp_replace(lower(merchant), '退款|退回|退还|有限公司|有限责任公司|[^\\p{{L}}\\p{{N}}]', '', 'g') AS m, {_any("lower(concat_ws(' ', merchant, status, notes))", L.REFUND_WORDS)} AS said FROM canonicals WHERE month(booking_date) <= 2),
+_REFUNDS = f"""WITH {ctes('canonicals')}, c AS (SELECT canonical_id AS row_id, booking_date AS day, abs(amount) AS amount, amount > 0 AS inc, tx_type, canonical_id, regexp_replace(lower(merchant), '退款|退回|退还|有限公司|有限责任公司|[^\\p{{L}}\\p{{N}}]', '', 'g') AS m, {_any("lower(concat_ws(' ', merchant, status, notes))", L.REFUND_WORDS)} AS said FROM canonicals),
 rc0 AS (SELECT a.row_id AS refund_id, b.row_id AS original_id, date_diff('day', b.day, a.day) AS days, CASE WHEN a.amount = b.amount THEN 'full' ELSE 'partial' END AS kind, (CASE WHEN a.amount = b.amount THEN 0.90 ELSE 0.75 END)::DECIMAL(4,2) AS confidence, a.amount AS ra, b.amount AS oa
   FROM c a JOIN c b ON a.inc AND (a.tx_type = 'REFUND' OR a.said) AND NOT b.inc AND length(a.m) >= 2 AND length(b.m) >= 2 AND (contains(a.m, b.m) OR contains(b.m, a.m)) AND a.amount <= b.amount AND date_diff('day', b.day, a.day) BETWEEN 0 AND 180),
 rc AS (SELECT *, count(*) OVER (PARTITION BY refund_id) > 1 AS ambiguous FROM rc0)
 """
 
 
-def _refund_candidates(spark, d):
+def _refund_sides(spark, d):
     from ledgerloom.functions import texts as T
 
-    rows = load(spark, d, "canonicals").where("month(booking_date) <= 2").select(F.col("canonical_id").alias("row_id"), "merchant", F.col("booking_date").alias("day"), "amount", "tx_type", T.refund_words(T.text("merchant", "status", "notes")).alias("said"))
-    size = rows.withColumn("amount", F.abs("amount"))
-    return refunds.refund_candidates(size.join(rows.where("amount > 0 and (tx_type = 'REFUND' or said)").select("row_id"), "row_id", "left_semi"), size.join(rows.where("amount < 0").select("row_id"), "row_id", "left_semi"))
+    rows = load(spark, d, "canonicals").select(F.col("canonical_id").alias("row_id"), "merchant", F.col("booking_date").alias("day"), "amount", "tx_type", T.refund_words(T.text("merchant", "status", "notes")).alias("said"))
+    size = lambda x: x.select("row_id", "merchant", "day", F.abs("amount").alias("amount"))
+    return size(rows.where("amount > 0 and (tx_type = 'REFUND' or said)")), size(rows.where("amount < 0"))
+
+
+def _refund_candidates(spark, d):
+    return refunds.refund_candidates(*_refund_sides(spark, d))
 
 
 @query("refund_candidates", _REFUNDS + "SELECT refund_id, original_id, days::INT AS days, kind, confidence, ambiguous FROM rc")
@@ -173,8 +177,7 @@ def refund_ranks(spark, d):
 def preferred_refunds(spark, d):
     ranked = _ranked(spark, d)
     times = load(spark, d, "canonicals").select(F.col("canonical_id").alias("refund_id"), F.coalesce("transaction_time", F.col("booking_date").cast("timestamp_ntz")).alias("refund_at"))
-    groups = matching.components(ranked.select(F.concat(F.lit("r"), "refund_id").alias("a"), F.concat(F.lit("o"), "original_id").alias("b")))
-    return refunds.preferred_refunds(ranked, times, groups.where("node like 'r%'").select(F.expr("substring(node, 2)").alias("refund_id"), "component"))
+    return refunds.preferred_refunds(ranked, times, refunds.refund_groups(*_refund_sides(spark, d)))
 
 
 def _engine_rows(spark, d):
@@ -201,6 +204,13 @@ def engine_report(spark, d):
     return engine.report(rows, engine.resolve(rows))
 
 
+@query("engine_islands", f"""WITH {B.OBSERVATIONS}, k AS (SELECT raw_id[2:]::BIGINT % 23 AS owner, floor(abs(amount) * 100) AS cents, amount < 0 AS out, epoch(ts) AS s FROM obs),
+c AS (SELECT *, s - lag(s) OVER w <= 120 AS goes_on FROM k WINDOW w AS (PARTITION BY owner, cents, out ORDER BY s)), i AS (SELECT owner, cents, out, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY owner, cents, out ORDER BY s ROWS UNBOUNDED PRECEDING) AS island FROM c),
+n AS (SELECT count(*) AS n_rows FROM i GROUP BY owner, cents, out, island) SELECT n_rows, count(*) AS n_islands FROM n GROUP BY n_rows""")
+def engine_islands(spark, d):
+    return engine.islands(_engine_rows(spark, d)).groupBy("n_rows").agg(F.count("*").alias("n_islands"))
+
+
 @query("transfer_pairs", f"""WITH {B.OBSERVATIONS}, t AS (SELECT raw_id, raw_id[2:]::BIGINT AS k, source, ts, epoch(ts) AS s, CASE WHEN raw_id[2:]::BIGINT % 4 = 0 THEN -amount ELSE amount END AS amount FROM obs), u AS (SELECT *, 1 AS owner, floor(abs(amount) * 100) AS cents, k % 7 = 3 AND source <> 'bank' AS tr FROM t)
 SELECT a.raw_id AS out_id, b.raw_id AS in_id FROM u a JOIN u b ON a.owner = b.owner AND a.cents = b.cents AND a.amount < 0 AND b.amount >= 0 AND abs(date_diff('day', a.ts::DATE, b.ts::DATE)) <= 1 AND abs(a.s - b.s) <= 86400 AND (a.source = 'bank' OR b.source = 'bank') AND (a.tr OR b.tr)""")
 def transfer_pairs(spark, d):

@@ -27,4 +27,3 @@ def test_dates_and_suffixes(spark):
 def test_short_names_have_no_bigrams(spark):
     assert _one(spark, X.bigrams, "a") == []
     assert _one(spark, X.bigrams, "abc") == ["ab", "bc"]
-    assert _one(spark, X.plain_party, "·") == "unknown"
