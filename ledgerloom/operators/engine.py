@@ -26,14 +26,14 @@ _LOOSE = {frozenset(p) for p in (("alipay", "bank"), ("wechat", "bank"), ("alipa
 CELL_SECONDS, CELL_DAYS = 86_400, 365
 
 
-def prepared(rows: DataFrame) -> DataFrame:
-    """What the engine looks at: owner, row_id, seq, source, secs, day, cents, out, party, transfer, rank, said_length and the hashes of both levels."""
+def prepared(rows: DataFrame, *more: str) -> DataFrame:
+    """What the engine looks at: owner, row_id, seq, source, secs, day, cents, out, party, transfer, rank, said_length, the hashes of both levels, and more columns as they are."""
     day = F.col("ts").cast("date")
     rank = T.first_of([(F.col("source") == s, F.lit(p)) for s, p in PRIORITY], F.lit(0))
     l1, l2 = level_hashes(F.col("ts"), F.col("source"), F.col("amount"), F.col("party"))
     return rows.select(
         "owner", "row_id", "seq", "source", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("secs"), F.datediff(day, F.lit("1970-01-01")).alias("day"), X.cents(F.col("amount")).alias("cents"), (F.col("amount") < 0).alias("out"), T.party_name(F.col("party")).alias("party"),
-        T.is_transfer(F.col("source"), T.text("description", "party")).alias("transfer"), rank.alias("rank"), F.char_length(T.text("party", "description")).alias("said_length"), l1.alias("l1"), l2.alias("l2"),
+        T.is_transfer(F.col("source"), T.text("description", "party")).alias("transfer"), rank.alias("rank"), F.char_length(T.text("party", "description")).alias("said_length"), l1.alias("l1"), l2.alias("l2"), *more,
     )
 
 
@@ -55,29 +55,47 @@ def with_islands(rows: DataFrame, keys: list[str], at: str, gap: int, span: int,
     return joined.select(*[f"r.`{c}`" for c in rows.columns], (F.col("r._nth") + F.col("e._base")).alias(name))
 
 
+class Arrivals:
+    """Rows of one owner that later ones may match, by their hashes."""
+
+    def __init__(self) -> None:
+        self.l1, self.l2 = defaultdict(list), defaultdict(list)
+
+    def add(self, r) -> None:
+        for h in r.l1:
+            self.l1[h].append(r)
+        for h in r.l2:
+            self.l2[h].append(r)
+
+    def match(self, r):
+        """(row, level) of the first earlier row that r repeats, exactly or else loosely; or None."""
+        near = lambda c: abs(c.secs - r.secs) <= EXACT_SECONDS
+        exact = ((c, "L1") for h in r.l1 for c in self.l1[h] if c.source != r.source and near(c))
+        loose = ((c, "L2") for h in r.l2 for c in self.l2[h] if frozenset((c.source, r.source)) in _LOOSE and near(c))
+        return next(exact, None) or next(loose, None)
+
+
+def wins(r, other) -> bool:
+    """Whether the later row r takes the place of the earlier one: by source, then by how much it says, and if neither tells, as well."""
+    return (r.rank, r.said_length) >= (other.rank, other.said_length)
+
+
 def _settled(rows: list) -> Iterator[list]:
     """One island in order of arrival: row_id, level and duplicate_of of rows that found a match or lost to one, whether kept, and whether later rows may match them.
 
     A row that matched is no candidate for later rows; its partner may lose to it and stays one.
     """
-    l1, l2, out = defaultdict(list), defaultdict(list), {}
+    earlier, out = Arrivals(), {}
     for r in rows:
         mine = out[r.row_id] = [r.row_id, None, None, True, True]
-        if not r.transfer:
-            near = lambda c: abs(c.secs - r.secs) <= EXACT_SECONDS  # noqa: B023, E731
-            found = next(((c, "L1") for h in r.l1 for c in l1[h] if c.source != r.source and near(c)), None)
-            found = found or next(((c, "L2") for h in r.l2 for c in l2[h] if frozenset((c.source, r.source)) in _LOOSE and near(c)), None)
-            if found:
-                other, level = found
-                wins = (r.rank, r.said_length) >= (other.rank, other.said_length)
-                loser, winner = (out[other.row_id], r.row_id) if wins else (mine, other.row_id)
-                mine[1], mine[4] = level, False
-                loser[1:4] = [level, winner, False]
-                continue
-        for h in r.l1:
-            l1[h].append(r)
-        for h in r.l2:
-            l2[h].append(r)
+        found = None if r.transfer else earlier.match(r)
+        if not found:
+            earlier.add(r)
+            continue
+        other, level = found
+        loser, winner = (out[other.row_id], r.row_id) if wins(r, other) else (mine, other.row_id)
+        mine[1], mine[4] = level, False
+        loser[1:4] = [level, winner, False]
     yield from out.values()
 
 

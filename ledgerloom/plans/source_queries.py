@@ -13,7 +13,7 @@ from ledgerloom.plans import bridge as B
 from ledgerloom.plans.registry import Registry
 from ledgerloom.plans.store import ctes, load
 from ledgerloom.sources import statements
-from ledgerloom.streaming import ingest
+from ledgerloom.streaming import arrivals, ingest
 
 query = Registry()
 
@@ -114,3 +114,18 @@ def stream_pairs(spark, d):
     side = lambda kind: _events(spark, d).where(F.col("event_type") == kind).select(F.col("event_id").alias("raw_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("decimal(18,2)").alias("amount"))
     ingest.run_once(ingest.paired(side("click"), side("purchase"), 7200, "400 days"), folder)
     return spark.read.parquet(f"{folder}/out")
+
+
+@query("stream_engine")
+def stream_engine(spark, d):
+    """The engine's results of rows that arrive in five batches: what the batch engine says of all of them at once."""
+    from ledgerloom.plans.match_queries import _engine_rows
+
+    folder = _folder(spark)
+    rows = _engine_rows(spark, d)
+    for part in range(5):  # a run for each delivery, going on from the checkpoint of the one before
+        fifth = (F.pmod("seq", F.lit(1000)) * 5 / 1000).cast("int")
+        rows.withColumn("seq", F.col("seq") + part * (1 << 40)).where(fifth == part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        ingest.run_once(arrivals.changes(stream), folder)
+    return arrivals.latest(spark.read.parquet(f"{folder}/out"))
