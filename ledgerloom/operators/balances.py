@@ -57,6 +57,31 @@ def repaired_chain(rows: DataFrame, explains: Column, booked: Column | None = No
     return filled.select("account", "row_id", F.explode(lines).alias("l")).select("account", "l.ts", "row_id", "l.part", "l.amount", "l.balance", "l.nature", "l.unexplained")
 
 
+def signed_chain(rows: DataFrame, spends: Column) -> DataFrame:
+    """Rows (account, ts, row_id, amount without sign, balance) with the sign by which the balance follows: account, ts, row_id, part, amount, balance, nature.
+
+    An account's first row is spending if spends holds, after an opening row (part -1) of what was there before it. A later row takes the sign
+    that leads from the balance before to its own; if neither does and spends holds, it is spending after an inferred row (part 0) of
+    what is missing. Everything else, rows lacking amount or balance among it, is unsolved: amount null. The balance before is the last one known.
+    """
+    order = Window.partitionBy("account").orderBy("ts", "row_id")
+    before = F.last("balance", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    known = rows.withColumns({"spends": F.coalesce(spends, F.lit(False)), "previous": before}).withColumn("moved", (F.col("balance") - F.col("previous")).cast(MONEY))
+
+    def line(part: int, amount: Column, balance: Column, nature: str) -> Column:
+        return F.struct(F.lit(part).alias("part"), amount.cast(MONEY).alias("amount"), balance.cast(MONEY).alias("balance"), F.lit(nature).alias("nature"))
+
+    amount, balance, previous, moved = (F.col(c) for c in ("amount", "balance", "previous", "moved"))
+    paid, gap, start = line(1, -amount, balance, "observed"), moved + amount, balance + amount
+    unsolved = F.array(line(1, F.lit(None), balance, "unsolved"))
+    lines = (
+        F.when(amount.isNull() | balance.isNull(), unsolved).when(previous.isNull(), F.when(F.col("spends"), F.array(line(-1, start, start, "opening"), paid)).otherwise(unsolved))
+        .when(moved == amount, F.array(line(1, amount, balance, "observed"))).when(moved == -amount, F.array(paid))
+        .when(F.col("spends"), F.array(line(0, gap, previous + gap, "inferred"), paid)).otherwise(unsolved)
+    )
+    return known.select("account", "ts", "row_id", F.explode(lines).alias("l")).select("account", "ts", "row_id", "l.part", "l.amount", "l.balance", "l.nature")
+
+
 def latest_balance(rows: DataFrame) -> DataFrame:
     """The last row of each account. An aggregate, not a window: it combines before the shuffle."""
     last = rows.groupBy("account").agg(F.max(F.struct("ts", "row_id", "balance")).alias("b"))

@@ -103,27 +103,27 @@ def _holds(cells: Column, required: list[str]) -> Column:
     return ok
 
 
-def headings(cells: DataFrame) -> DataFrame:
+def headings(cells: DataFrame, formats: dict[str, list[str]] = L.FORMATS) -> DataFrame:
     """(file, format, head_row, heads): the first of the early rows that holds all headings of a format, formats in order; files without one are left out."""
     clean = F.transform("cells", T.strip_bom)
-    found = T.first_of([(_holds(clean, heads), F.struct(F.lit(k).alias("nth"), F.lit(name).alias("format"))) for k, (name, heads) in enumerate(L.FORMATS.items())], F.lit(None))
+    found = T.first_of([(_holds(clean, heads), F.struct(F.lit(k).alias("nth"), F.lit(name).alias("format"))) for k, (name, heads) in enumerate(formats.items())], F.lit(None))
     rows = cells.where(F.col("row_no").between(1, HEAD_ROWS)).select("file", "row_no", clean.alias("heads"), found.alias("f")).where("f is not null")
     best = rows.groupBy("file").agg(F.min(F.struct("row_no", "f.nth", "f.format", "heads")).alias("b"))
     return best.select("file", F.col("b.format").alias("format"), F.col("b.row_no").alias("head_row"), F.col("b.heads").alias("heads"))
 
 
-def records(cells: DataFrame) -> DataFrame:
+def records(cells: DataFrame, formats: dict[str, list[str]] = L.FORMATS) -> DataFrame:
     """(file, file_hash, format, row_no, heads, row): the rows after the headings, as heading to text; blank rows are left out, short ones padded, of equal headings the first counts."""
-    heads = headings(cells)
+    heads = headings(cells, formats)
     rows = cells.join(heads, "file").where((F.col("row_no") > F.col("head_row")) & F.exists("cells", lambda c: c != ""))
     keep = F.filter(F.sequence(F.lit(1), F.size("heads")), lambda i: (F.get(F.col("heads"), i - 1) != "") & (F.array_position(F.col("heads"), F.get(F.col("heads"), i - 1)) == i))
     row = F.map_from_entries(F.transform(keep, lambda i: F.struct(F.get(F.col("heads"), i - 1).alias("key"), T.cell(F.get(F.col("cells"), i - 1)).alias("value"))))
     return rows.select("file", "file_hash", "format", "row_no", "heads", row.alias("row"))
 
 
-def _value(fmt: str, what: str) -> Column:
+def _value(columns: dict[str, dict[str, str]], fmt: str, what: str) -> Column:
     """A record's text for one column of one format, or null."""
-    name = COLUMNS[fmt].get(what)
+    name = columns[fmt].get(what)
     if name is None:
         return F.lit(None).cast("string")
     if fmt == "bank":  # the first heading that holds one of the words
@@ -132,15 +132,15 @@ def _value(fmt: str, what: str) -> Column:
     return F.nullif(F.try_element_at("row", F.lit(name)), F.lit(""))
 
 
-def _of_format(make) -> Column:
-    return T.first_of([(F.col("format") == f, make(f)) for f in COLUMNS], F.lit(None))
+def _of_format(columns: dict[str, dict[str, str]], make) -> Column:
+    return T.first_of([(F.col("format") == f, make(f)) for f in columns], F.lit(None))
 
 
-def raw_rows(recs: DataFrame, account: Column) -> DataFrame:
+def raw_rows(recs: DataFrame, account: Column, columns: dict[str, dict[str, str]] = COLUMNS) -> DataFrame:
     """Raw ledger rows of records, with fault where a row can't be read: source, source_account, transaction_time, booking_date, amount, direction, merchant,
     counterparty, description, payment_method, bank_card_suffix, transaction_id, merchant_order_id, status, balance, source_file, source_file_hash, raw_row_number, original_row.
     """
-    get = lambda what: _of_format(lambda f: _value(f, what))
+    get = lambda what: _of_format(columns, lambda f: _value(columns, f, what))
     vals = recs.select("*", *[get(w).alias(f"v_{w}") for w in ("time", "day", "amount", "way", "signed", "unsigned", "in", "out", "balance", "party", "party2", "kind", "what", "method", "number", "order", "status", "card")])
     stated, way = T.signed_amount(F.col("v_amount"), F.col("v_way"))
     number = lambda c: F.regexp_replace(c, r"[¥￥$,\s]", "").try_cast(X.MONEY)
@@ -155,17 +155,17 @@ def raw_rows(recs: DataFrame, account: Column) -> DataFrame:
     fault = F.when(F.col("booking").isNull(), "date").when(F.col("amount").isNull(), "amount").when(direction.isNull(), "direction")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return out.select(
-        _of_format(lambda f: F.lit(COLUMNS[f]["source"])).alias("source"), account.alias("source_account"), F.col("stamp").alias("transaction_time"), F.col("booking").alias("booking_date"), "amount", direction.alias("direction"),
+        _of_format(columns, lambda f: F.lit(columns[f]["source"])).alias("source"), account.alias("source_account"), F.col("stamp").alias("transaction_time"), F.col("booking").alias("booking_date"), "amount", direction.alias("direction"),
         party.alias("merchant"), party.alias("counterparty"), text("v_what").alias("description"), text("v_method").alias("payment_method"), F.coalesce(X.card_suffix(F.col("v_method")), X.card_suffix(F.col("v_card"))).alias("bank_card_suffix"),
         F.col("v_number").alias("transaction_id"), F.col("v_order").alias("merchant_order_id"), text("v_status").alias("status"), number(F.col("v_balance")).alias("balance"),
         F.col("file").alias("source_file"), F.col("file_hash").alias("source_file_hash"), F.col("row_no").alias("raw_row_number"), F.col("row").alias("original_row"), fault.alias("fault"),
     )
 
 
-def faults(cells: DataFrame, rows: DataFrame) -> DataFrame:
+def faults(cells: DataFrame, rows: DataFrame, formats: dict[str, list[str]] = L.FORMATS) -> DataFrame:
     """(file, row_no, fault) of files that can't be read or have no known headings, and of rows with a fault."""
     unread = cells.where("fault is not null").select("file", "row_no", "fault")
-    known = headings(cells).select("file")
+    known = headings(cells, formats).select("file")
     strange = cells.where("fault is null").select("file").distinct().join(known, "file", "left_anti").select("file", F.lit(0).alias("row_no"), F.lit("headings").alias("fault"))
     return unread.union(strange).union(rows.where("fault is not null").select("source_file", "raw_row_number", "fault"))
 
