@@ -8,7 +8,7 @@ from ledgerloom.operators import balances, keywords, sessions
 from ledgerloom.plans import bridge as B
 from ledgerloom.plans.registry import Registry
 from ledgerloom.plans.store import ctes, load
-from ledgerloom.sources import adapters, geometry, statements
+from ledgerloom.sources import adapters, captures, geometry, statements
 
 query = Registry()
 
@@ -174,3 +174,20 @@ _adapted("alipay_v1_statements", "alipay", ["交易号", "商家订单号", "交
 _adapted("alipay_v2_statements", "alipay", ["交易订单号", "商户订单号", "创建时间", "商品名称", "对方账户", "金额", "收/支", "收/付款方式", "交易状态"], {}, lambda: [F.col("transaction_id"), F.col("merchant_order_id"), _STAMP(), F.col("description"), F.col("merchant"), F.abs("amount"), _WAY_OUT(), F.col("payment_method"), F.col("status")], _SAME + "'alipay'")
 _adapted("own_wallet", "wechat", ["When", "Sum", "Kind", "Whom", "What", "State"], {"source": "mywallet", "time": "When", "amount": "Sum", "way": "Kind", "party": "Whom", "what": "What", "status": "State"}, lambda: [_STAMP(), F.abs("amount"), _WAY_OUT(), F.col("merchant"), F.col("description"), F.col("status")], _SAME + "'wechat'")
 
+
+@query("captured_rows", f"""WITH {B.STATEMENT}, n AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ts, row_id) - 1 AS k, year(ts) * 12 + month(ts) - 1 AS own FROM st),
+c AS (SELECT *, k // 6 AS page, CASE WHEN k % 4 = 1 THEN own END AS m FROM n), f AS (SELECT *, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY account ORDER BY k ROWS UNBOUNDED PRECEDING), last_value(m IGNORE NULLS) OVER (PARTITION BY account, page ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS mm FROM c WHERE k % 11 <> 10),
+g AS (SELECT account::VARCHAR AS capture, try_strptime((mm // 12) || '-' || (mm % 12 + 1) || '-' || strftime(ts, '%d %H:%M'), '%Y-%m-%d %H:%M') AS transaction_time, abs(amount)::DECIMAL(18,2) AS amount, abs(balance)::DECIMAL(18,2) AS balance, kind, m IS NOT NULL AS dated, k, strftime(ts, '%H:%M') AS clock FROM f)
+SELECT capture, transaction_time, amount, balance, kind, dated FROM g WHERE transaction_time IS NOT NULL QUALIFY row_number() OVER (PARTITION BY capture, clock, amount, balance, kind ORDER BY NOT dated, k) = 1""")
+def captured_rows(spark, d):
+    """Six cards a page; every fourth card says its date, every eleventh lacks its amount, and every fifth is captured twice."""
+    from pyspark.sql import Window
+
+    rows = B.statement(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("account").orderBy("ts", "row_id")) - 1)
+    money = lambda c: F.concat(F.format_number(F.abs(c).cast("double"), 2), F.lit("元"))
+    says = F.when(F.col("k") % 4 == 1, F.date_format("ts", "yyyy年M月d日提醒")).otherwise("交易提醒")
+    label = F.when(F.col("k") % 11 == 10, "数额").otherwise(captures.AMOUNT)
+    texts = F.array(says, F.date_format("ts", "d日 HH:mm"), F.lit(captures.KIND), F.lit("交易"), F.col("kind"), label, money("amount"), F.lit(captures.TIME), money("balance"))
+    cards = rows.select(F.col("account").cast("string").alias("capture"), (F.col("k") * 2).alias("nth"), F.floor(F.col("k") / 6).alias("page"), texts.alias("texts"), "k")
+    again = cards.where("k % 5 = 0").withColumn("nth", F.col("nth") + 1)
+    return captures.captured_rows(cards.unionByName(again).drop("k"))

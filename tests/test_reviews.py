@@ -137,3 +137,19 @@ def test_an_adapter_for_pages(spark, tmp_path):
     formats.register(adapters.of_pages("pages", "Pages", (".page",), words_of, ["记账日期", "交易金额"], {"source": "bank", "day": "记账日期", "signed": "交易金额"}, largest=7.1))
     rows = formats.read(spark, f"file://{tmp_path}", "pages", F.lit("acc")).collect()
     assert [(r.source_account, str(r.booking_date), r.amount, r.fault) for r in rows] == [("acc", "2024-01-02", Decimal("8.00"), None)]
+
+
+def test_cards_of_a_message_list(spark):
+    def card(head, clock="3日 09:30", amount="1,200.00元", balance="50.00元", kind="消费"):
+        return [head, clock, "类型", "交易", kind, "金额", amount, "时间", balance]
+
+    cards = [
+        (1, 1, card("提醒", "2日 08:00")), (2, 1, card("2020年7月1日", "5日 10:00")), (3, 1, card("2020年8月3日")), (4, 2, card("提醒", "4日 09:30")), (5, 2, card("提醒", "31日 11:00", "7.00元")), (6, 3, card("2020年9月1日", "30日 11:00", "7.00元")),
+        (7, 3, card("提醒", amount="x")), (8, 3, card("提醒", kind="")), (9, 3, ["金额"]), (10, 4, card("提醒", "31日 12:00")),
+    ]
+    df = spark.createDataFrame([("c", *c) for c in cards] + [("d", 1, 1, card("提醒"))], "capture string, nth int, page int, texts array<string>")
+    from ledgerloom.sources import captures
+
+    got = {(r.capture, str(r.transaction_time), r.amount, r.dated) for r in captures.captured_rows(df).collect()}
+    # the first card takes its page's last date; 9:30 was seen twice, dated first; 11:00 twice, the dated one counts; September has no 31st
+    assert got == {("c", "2020-08-02 08:00:00", Decimal("1200.00"), False), ("c", "2020-07-05 10:00:00", Decimal("1200.00"), True), ("c", "2020-08-03 09:30:00", Decimal("1200.00"), True), ("c", "2020-09-30 11:00:00", Decimal("7.00"), True)}
