@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ledgerloom.plans import account_queries, kept_queries, ledger_queries, match_queries, record_queries, review_queries, source_queries
+from ledgerloom.plans import acceptance_queries, account_queries, kept_queries, ledger_queries, match_queries, record_queries, review_queries, source_queries
 
-_MODULES = (ledger_queries.query, record_queries.query, match_queries.query, source_queries.query, account_queries.query, kept_queries.query, review_queries.query)
+_MODULES = (ledger_queries.query, record_queries.query, match_queries.query, source_queries.query, account_queries.query, kept_queries.query, review_queries.query, acceptance_queries.query)
 
 
 def queries() -> dict[str, Callable]:
