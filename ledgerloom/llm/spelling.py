@@ -2,8 +2,11 @@
 
 The counted words are sorted into ranges, and each range becomes a compact trie shard: nodes in level order, a byte a
 label and four for the first child. Shards are broadcast in rounds of at most ROUND_BYTES, whatever the size of the
-dictionary; in a round each word's distance-one automaton is intersected depth-first with every shard of it. A shard
-holds a range of the sorted words, so an automaton that shares no beginning with it dies within a few nodes.
+dictionary; in a round each word's distance-one automaton is intersected depth-first with every shard of it.
+
+Of a word and its neighbour, either the first half or the second is the same. So there are tries of the words and of the
+words reversed, and in both the automaton takes half the word without an error before it branches. A shard holds a range
+of sorted words, so an automaton that doesn't begin like them dies within a few nodes.
 """
 
 from __future__ import annotations
@@ -117,15 +120,19 @@ class Trie:
         return {"labels": joined(labels, np.uint8), "first": first.astype(np.uint32).tobytes(), "ends": joined(ends, np.uint32), "n": joined(n, np.int64)}
 
 
-def near_words(trie: Trie, word: bytes) -> list[tuple[bytes, int]]:
-    """The trie's words at edit distance exactly one from word, with their counts.
+def near_words(trie: Trie, word: bytes, free: int = 0) -> list[tuple[bytes, int]]:
+    """The trie's words at edit distance exactly one from word that begin with its first `free` letters, with their counts.
 
     A state of the automaton is the position reached without an error (or none) and the set of positions reached with
     one. Without an error, any child may follow; after it, only children that go on with the word.
     """
     labels, first, ends, n = trie.labels, trie.first, trie.ends, trie.n
-    m, found = len(word), []
-    stack = [(0, 0, (1,), b"")]  # node, position without error, positions with one, path
+    m, found, node = len(word), [], 0
+    for c in word[:free]:
+        node = labels.find(c, first[node], first[node + 1])
+        if node < 0:
+            return found
+    stack = [(node, free, (free + 1,) if free < m else (), word[:free])]  # node, position without error, positions with one, path
     while stack:
         node, exact, wrong, path = stack.pop()
         if m in wrong:
@@ -156,6 +163,7 @@ def near_words(trie: Trie, word: bytes) -> list[tuple[bytes, int]]:
 
 
 _SHARD = "labels binary, first binary, ends binary, n binary"
+_PARTS = ["labels", "first", "ends", "n"]
 _NEAR = "word string, n long, n_near long, best string, best_n long"
 
 
@@ -174,15 +182,27 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([Trie.packed(words, counts)])
 
 
+def _found(tries: list[tuple[bool, Trie]], word: bytes) -> list[tuple[bytes, int]]:
+    """The word's neighbours: those that begin like it from the tries of words, the others from the tries of words reversed."""
+    half = len(word) // 2
+    head, turned, out = word[:half], word[::-1], []
+    for backward, trie in tries:
+        if backward:
+            out += [(v[::-1], n) for v, n in near_words(trie, turned, len(word) - half) if not v[::-1].startswith(head)]
+        else:
+            out += near_words(trie, word, half)
+    return out
+
+
 def _intersected(sent):
     """Each word's neighbours in the shards of one broadcast: how many, and the best (largest n, then least in code-point order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = [Trie(**parts) for parts in sent.value]
+        tries = [(backward, Trie(**parts)) for backward, parts in sent.value]
         for batch in batches:
             n_near, best = [], []
             for word in batch.column(0).to_pylist():
-                found = [x for t in tries for x in near_words(t, word.encode("latin-1"))]
+                found = _found(tries, word.encode("latin-1"))
                 n_near.append(len(found))
                 best.append(min(found, key=lambda x: (-x[1], x[0]), default=(None, None)))
             names = pa.array([w if w is None else w.decode("latin-1") for w, _ in best], pa.string())
@@ -197,8 +217,10 @@ def neighbours(words: DataFrame) -> DataFrame:
     words = materialize(words.select("word", "n"), "words")
     sizes = words.agg(F.sum(F.char_length("word")).alias("letters"), F.count("*").alias("rows")).first()
     parts = -(-(sizes["letters"] or 0) // SHARD_LETTERS) or 1
-    shards = materialize(words.repartitionByRange(parts, "word").sortWithinPartitions("word").mapInArrow(_shards, _SHARD).withColumn("shard", F.monotonically_increasing_id()), "tries")
-    size = sum((F.octet_length(c) for c in ("labels", "first", "ends", "n")), F.lit(0))
+    built = lambda rows: rows.repartitionByRange(parts, "word").sortWithinPartitions("word").mapInArrow(_shards, _SHARD)
+    both = built(words).withColumn("backward", F.lit(False)).union(built(words.withColumn("word", F.reverse("word"))).withColumn("backward", F.lit(True)))
+    shards = materialize(both.withColumn("shard", F.monotonically_increasing_id()), "tries")
+    size = sum((F.octet_length(c) for c in _PARTS), F.lit(0))
     rounds, held = [[]], 0
     for shard, size in shards.select("shard", size.cast("long")).orderBy("shard").collect():  # two numbers for each SHARD_LETTERS letters of the dictionary
         if rounds[-1] and held + size > ROUND_BYTES:
@@ -209,8 +231,8 @@ def neighbours(words: DataFrame) -> DataFrame:
     found = spark.createDataFrame([], _NEAR)
     asked = words.repartition(-(-sizes["rows"] // TASK_WORDS) or 1)
     for ids in filter(None, rounds):
-        chosen = shards.where(F.col("shard").between(ids[0], ids[-1])).select("labels", "first", "ends", "n")
-        sent = spark.sparkContext.broadcast([{k: bytes(v) for k, v in r.asDict().items()} for r in chosen.toLocalIterator()])  # at most ROUND_BYTES and one shard
+        chosen = shards.where(F.col("shard").between(ids[0], ids[-1])).toLocalIterator()
+        sent = spark.sparkContext.broadcast([(r.backward, {k: bytes(r[k]) for k in _PARTS}) for r in chosen])  # at most ROUND_BYTES and one shard
         found = found.unionByName(materialize(asked.mapInArrow(_intersected(sent), _NEAR), "near"))
         sent.unpersist()
     best = F.min(F.when(F.col("best").isNotNull(), F.struct((-F.col("best_n")).alias("m"), F.col("best").alias("w")))).alias("b")

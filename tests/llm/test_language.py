@@ -110,6 +110,10 @@ def test_automaton_against_brute_force():
         for w in (*words[:10], b"abab", b"a", b"bbbbbbbb"):
             got = spelling.near_words(trie, w)
             assert sorted(got) == [(v, k) for k, v in enumerate(words) if one_apart(w, v)]
+            assert sorted(spelling.near_words(trie, w, 1)) == [x for x in sorted(got) if x[0].startswith(w[:1])]
+            turned = sorted((x[::-1], k) for k, x in enumerate(words))
+            back = spelling.Trie(**spelling.Trie.packed([x for x, _ in turned], [k for _, k in turned]))
+            assert sorted(spelling._found([(False, trie), (True, back)], w)) == sorted(got)
 
 
 def brute_fim(i, text):
