@@ -39,3 +39,14 @@ def test_a_late_row_meets_earlier_ones_until_their_state_ends(spark):
     # with a watermark of a day, the row of March 1st is gone when its partner comes, and the partner is too late to be taken
     got, _ = _streamed(spark, [first, [_row(4, "alipay", "2024-03-21 10:00:00", "-8.00")], late], "1 day")
     assert got["r1"][0] == "UNIQUE" and "r3" not in got
+
+
+def test_the_registered_query_keeps_every_row(spark):
+    from ledgerloom.plans.match_queries import _engine_rows
+    from ledgerloom.plans.source_queries import stream_engine
+
+    sf = "/root/testdata/sf0.001"
+    fifth = (F.pmod("seq", F.lit(1000)) * 5 / 1000).cast("long")
+    rows = _engine_rows(spark, sf).withColumn("seq", F.col("seq") + fifth * (1 << 40))
+    result = lambda df: {(r.row_id, r.status, r.level, r.duplicate_of, r.kept) for r in df.collect()}
+    assert result(stream_engine(spark, sf)) == result(engine.resolve(rows))
