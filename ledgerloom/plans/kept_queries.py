@@ -22,7 +22,10 @@ _TABLES = {
     "snapshots": (["snapshot_id"], f"snapshot_id string, source string, source_account string, balance {_MONEY}, balance_kind string, as_of date, created_by string, note string"),
     "events": (["canonical_id", "happened_at", "action"], "canonical_id string, happened_at timestamp_ntz, action string, actor string, before string, after string"),
 }
-_N = F.expr("cast(substring(canonical_id, 2) as bigint)")
+
+def _n():
+    return F.expr("cast(substring(canonical_id, 2) as bigint)")
+
 _AT = "1999-01-0{} 00:00:00"
 
 
@@ -51,11 +54,11 @@ def _edited(spark, d) -> Ledger:
     """Every tenth row has a new category, every 30th is then deleted, every 60th restored, and as many are made by hand."""
     kept = _opened(spark, d)
     rows = load(spark, d, "canonicals").select("canonical_id", "booking_date", "amount")
-    kept.commit(_change(kept, _asked(rows.where(_N % 10 == 0), "update", 1, category=F.lit("edited"))))
-    kept.commit(_change(kept, _asked(rows.where(_N % 30 == 0), "delete", 2)))
+    kept.commit(_change(kept, _asked(rows.where(_n() % 10 == 0), "update", 1, category=F.lit("edited"))))
+    kept.commit(_change(kept, _asked(rows.where(_n() % 30 == 0), "delete", 2)))
     kept.compact("canonicals")
-    by_hand = rows.where(_N % 60 == 0).select(F.concat(F.lit("H"), _N).alias("canonical_id"), "booking_date", "amount")
-    both = _asked(rows.where(_N % 60 == 0), "restore", 3).unionByName(_asked(by_hand, "create", 3, booking_date=F.col("booking_date"), amount=-F.col("amount"), merchant=F.lit("hand"), category=F.lit(""), notes=F.lit("")))
+    by_hand = rows.where(_n() % 60 == 0).select(F.concat(F.lit("H"), _n()).alias("canonical_id"), "booking_date", "amount")
+    both = _asked(rows.where(_n() % 60 == 0), "restore", 3).unionByName(_asked(by_hand, "create", 3, booking_date=F.col("booking_date"), amount=-F.col("amount"), merchant=F.lit("hand"), category=F.lit(""), notes=F.lit("")))
     kept.commit(_change(kept, both))
     return kept
 

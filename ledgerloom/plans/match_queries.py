@@ -253,9 +253,18 @@ def report_timeline(spark, d):
     return statistics.report_timeline(_facts(spark, d), "week")
 
 
-@query("ledger_validation", "SELECT unnest(['yearly_gross_expense', 'yearly_refunds', 'yearly_income', 'net_flow', 'rows_have_day', 'rows_have_amount', 'rows_have_type']) AS \"check\", true AS holds")
+_YEARS = lambda n: f"(SELECT sum(s) FROM (SELECT {_SUM(n)} AS s FROM fa GROUP BY year(booking_date))) = (SELECT {_SUM(n)} FROM fa)"
+
+
+@query("ledger_validation", _FACTS + f""", p AS (SELECT CASE WHEN canonical_id[2:]::BIGINT % 500 <> 3 THEN booking_date END AS booking_date, CASE WHEN canonical_id[2:]::BIGINT % 700 <> 5 THEN amount ELSE 0 END AS amount, tx_type FROM canonicals)
+SELECT 'yearly_gross_expense' AS "check", {_YEARS('expense')} AS holds UNION ALL SELECT 'yearly_refunds', {_YEARS('refund')} UNION ALL SELECT 'yearly_income', {_YEARS('income')}
+UNION ALL SELECT 'net_flow', (SELECT sum(CASE fact WHEN 'expense' THEN -amount WHEN 'refund' THEN amount WHEN 'income' THEN amount ELSE 0 END) FROM fa) = (SELECT {_SUM('income')} + {_SUM('refund')} - {_SUM('expense')} FROM fa)
+UNION ALL SELECT 'rows_have_day', count(*) FILTER (booking_date IS NULL) = 0 FROM p UNION ALL SELECT 'rows_have_amount', count(*) FILTER (amount = 0 OR amount IS NULL) = 0 FROM p UNION ALL SELECT 'rows_have_type', count(*) FILTER (trim(tx_type) = '' OR tx_type IS NULL) = 0 FROM p""")
 def ledger_validation(spark, d):
-    return statistics.validation(_facts(spark, d), load(spark, d, "canonicals"))
+    """Some canonical rows lose their day or their amount, so two checks fail."""
+    n, rows = F.expr("cast(substring(canonical_id, 2) as bigint)"), load(spark, d, "canonicals")
+    faulty = rows.withColumns({"booking_date": F.when(n % 500 != 3, F.col("booking_date")), "amount": F.when(n % 700 != 5, F.col("amount")).otherwise(0).cast("decimal(18,2)")})
+    return statistics.validation(_facts(spark, d), faulty)
 
 
 @query("account_facets", f"WITH {ctes('raws', 'links')}, e AS (SELECT DISTINCT canonical_id, source, source_account FROM links JOIN raws USING (raw_id)) SELECT source, source_account, count(DISTINCT canonical_id) AS n_rows FROM e GROUP BY 1, 2 UNION ALL SELECT source, NULL, count(DISTINCT canonical_id) FROM e GROUP BY 1")

@@ -412,6 +412,15 @@ def verified_change(spark, d):
     return records.verified_change(intervals.interval_reconciliation(rows, B.canonical_sides(rows)), _wallets(spark, d), _closure(spark, d))
 
 
+@query("verified_change_closed", f"""WITH {ctes('raws', 'snapshots')}, {B.INTERVALS.strip().removeprefix('WITH')}, {_CLOSURE}, s2 AS (SELECT account, amount, sum(amount) OVER w AS balance, sum(amount) OVER w - amount AS p, row_number() OVER w AS k FROM st WINDOW w AS (PARTITION BY account ORDER BY ts, row_id ROWS UNBOUNDED PRECEDING))
+SELECT CASE WHEN (SELECT count(*) FROM s2 WHERE balance - p <> amount OR (k = 1 AND balance <> amount)) = 0 AND (SELECT count(*) FROM wl WHERE projected IS NULL) = 0 THEN known_total END AS asset_change FROM cl""")
+def verified_change_closed(spark, d):
+    """The same gate where every chain closes: balances without their faults, and wallets that hold what was projected."""
+    rows = B.statement(spark, d).withColumn("balance", (F.col("balance") - F.when(F.col("row_id") % 97 == 0, 1).otherwise(0)).cast("decimal(18,2)"))
+    sides = rows.select("row_id", F.col("row_id").alias("canonical_id"), F.col("amount").alias("canonical_amount"))
+    return records.verified_change(intervals.interval_reconciliation(rows, sides), _wallets(spark, d).withColumn("actual", F.col("projected")), _closure(spark, d))
+
+
 _COUNTED = ("candidates", "canonicals", "deletions", "links", "raws")
 
 

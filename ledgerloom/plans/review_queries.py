@@ -12,14 +12,17 @@ from ledgerloom.sources import adapters, captures, geometry, statements
 
 query = Registry()
 
-_N = F.expr("cast(substring(raw_id, 2) as bigint)")
+
+def _n():
+    return F.expr("cast(substring(raw_id, 2) as bigint)")
+
 
 
 def _items(spark, d):
     """Wallet rows are observed, every third of them for the first time; every seventh bank row is missing. Some rows have no canonical row yet."""
     raws = load(spark, d, "raws").select("raw_id", "import_batch_id", "source", F.col("booking_date").cast("timestamp_ntz").alias("at"))
-    observed = raws.where("source <> 'bank'").withColumn("is_new", _N % 3 == 0)
-    return sessions.review_items(observed, raws.where((F.col("source") == "bank") & (_N % 7 == 0)), load(spark, d, "links").where(_N % 4 != 1))
+    observed = raws.where("source <> 'bank'").withColumn("is_new", _n() % 3 == 0)
+    return sessions.review_items(observed, raws.where((F.col("source") == "bank") & (_n() % 7 == 0)), load(spark, d, "links").where(_n() % 4 != 1))
 
 
 def _decisions(items):
@@ -85,7 +88,7 @@ def review_snapshots(spark, d):
     day, n = F.col("booking_date").cast("timestamp_ntz"), F.expr("cast(substring(canonical_id, 2) as int)")
     versions = rows.select("canonical_id", (day - F.expr("INTERVAL 5 DAYS")).alias("created_at"), "category")
     versions = versions.unionByName(rows.select("canonical_id", (day + F.make_dt_interval(n % 3)).cast("timestamp_ntz").alias("created_at"), F.lit("later").alias("category")))
-    told = items.where(_N % 5 == 0).select("review_item_id", F.lit("told").alias("merchant"))
+    told = items.where(_n() % 5 == 0).select("review_item_id", F.lit("told").alias("merchant"))
     out = sessions.hydrated(items, load(spark, d, "raws"), told, versions, ["merchant"], ["category"])
     return out.select("review_item_id", F.col("persisted.merchant").alias("persisted"), F.col("imported.merchant").alias("imported"), F.col("affected.category").alias("affected"))
 

@@ -150,7 +150,9 @@ def raw_rows(recs: DataFrame, account: Column, columns: dict[str, dict[str, str]
     stamp = F.coalesce(T.strict_datetime(F.col("v_time")), X.parse_datetime(F.concat_ws(" ", F.date_format(day, "yyyy-MM-dd"), clock)).cast("timestamp_ntz"))
     stamp = F.when(F.col("v_time").isNotNull(), stamp)
     party = F.coalesce("v_party", "v_party2", F.lit(""))
-    out = vals.withColumns({"amount": amount, "stamp": stamp, "booking": F.coalesce(stamp.cast("date"), day.cast("date"))})
+    # a bank's own rows without any amount, such as notes, are no transactions
+    idle = (F.col("format") == "bank") & (F.greatest(*[F.abs(number(F.col(f"v_{w}"))) for w in ("in", "out", "signed")]) == 0)
+    out = vals.where(~F.coalesce(idle, F.lit(False))).withColumns({"amount": amount, "stamp": stamp, "booking": F.coalesce(stamp.cast("date"), day.cast("date"))})
     direction = F.when(F.col("v_amount").isNotNull(), way).when(F.col("amount") < 0, "expense").when(F.col("amount").isNotNull(), "income")
     fault = F.when(F.col("booking").isNull(), "date").when(F.col("amount").isNull(), "amount").when(direction.isNull(), "direction")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
