@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import texts as T
 from ledgerloom.functions.exprs import MONEY
+from ledgerloom.operators.durable import cut
+from ledgerloom.operators.keywords import keyword_hits
+
+#: Accounts up to which a table of them is broadcast to the rows that may name one.
+FEW = 10_000
 
 
 def live(canonicals: DataFrame, deletions: DataFrame) -> DataFrame:
@@ -49,16 +54,28 @@ def backed_by_bank(canonicals: DataFrame, links: DataFrame, raws: DataFrame, pro
     return both.withColumns({"bank_backed": F.col("p").isNotNull(), "internal_product": F.coalesce("p", F.lit(False))}).drop("p")
 
 
+def naming(rows: DataFrame, row_id: str, text: str, accounts: DataFrame, few: int = FEW) -> DataFrame:
+    """rows (row_id without repeats, text, more) with each of accounts (account, more; accounts differ) that the text names.
+
+    Up to `few` accounts are broadcast, more are found through the index of their character pairs.
+    """
+    names = F.contains(text, "account")
+    if accounts.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(accounts), names)
+    numbered = cut(accounts.select("account").withColumn("nth", F.monotonically_increasing_id()))
+    hits = keyword_hits(rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")), numbered.select("nth", F.col("account").alias("word")))
+    pairs = hits.join(numbered, "nth").select(F.col("row_id").alias(row_id), "account")
+    return rows.join(pairs, row_id).join(accounts, "account").where(names)
+
+
 def pending_after(canonicals: DataFrame, links: DataFrame, raws: DataFrame, closings: DataFrame) -> DataFrame:
     """(account, canonical_id, amount): rows after an account's last statement day, funded by it and known to a wallet but not to a bank.
 
-    closings: account, day; an account's name is looked for inside the funding text. It has a row per bank account, few enough
-    to broadcast, and only rows after the earliest closing are looked at.
+    closings: account, day; an account's name is looked for inside the funding text.
     """
     kinds = links.join(raws.select("raw_id", "source"), "raw_id").groupBy("canonical_id").agg(F.bool_or(F.col("source").isin("wechat", "alipay")).alias("wallet"), F.bool_or(F.col("source") == "bank").alias("bank"))
     rows = canonicals.join(kinds.where("wallet and not bank"), "canonical_id", "left_semi")
-    hit = (F.col("booking_date") > F.col("day")) & F.contains("funding_account", "account")
-    return rows.join(F.broadcast(closings), hit).select("account", "canonical_id", "amount")
+    return naming(rows, "canonical_id", "funding_account", closings).where("booking_date > day").select("account", "canonical_id", "amount")
 
 
 def merge_candidates(known: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
@@ -193,14 +210,17 @@ def latest_snapshots(snapshots: DataFrame) -> DataFrame:
 def bank_cash(raws: DataFrame) -> DataFrame:
     """Each bank account's last balance, carried on with later wallet rows of its card or naming it: account, statement_balance, pending_adjustment, balance, as_of.
 
-    A wallet row counts once for an account, by suffix or by name; bank accounts are few, so they are broadcast.
+    A wallet row counts once for an account, by suffix or by name.
     """
     at = F.struct("booking_date", F.coalesce(F.col("transaction_time").cast("string"), F.lit("")).alias("t"), F.coalesce("raw_row_number", F.lit(0)).alias("r"), "raw_id", "balance", "bank_card_suffix")
     last = raws.where("source = 'bank' and balance is not null").groupBy(F.col("source_account").alias("account")).agg(F.max(at).alias("b"))
     last = last.select("account", F.col("b.booking_date").alias("day"), F.col("b.balance").alias("statement_balance"), F.coalesce("b.bank_card_suffix", F.lit("")).alias("suffix"))
-    wallet = raws.where("source in ('wechat', 'alipay') and amount <> 0").select(F.coalesce("bank_card_suffix", F.lit("")).alias("s"), F.coalesce("payment_method", F.lit("")).alias("m"), F.col("booking_date").alias("d"), "amount")
-    hit = ((F.col("suffix") != "") & (F.col("s") == F.col("suffix"))) | F.contains("m", "account")
-    later = wallet.join(F.broadcast(last), hit & (F.col("d") > F.col("day"))).groupBy("account").agg(F.sum("amount").cast(MONEY).alias("adj"), F.max("d").alias("till"))
+    wallet = raws.where("source in ('wechat', 'alipay') and amount <> 0").select("raw_id", F.coalesce("bank_card_suffix", F.lit("")).alias("s"), F.coalesce("payment_method", F.lit("")).alias("m"), F.col("booking_date").alias("d"), "amount")
+    last = cut(last)
+    by_suffix = wallet.join(last.where("suffix <> ''"), F.col("s") == F.col("suffix"))
+    by_name = naming(wallet, "raw_id", "m", last)
+    hits = by_suffix.unionByName(by_name).where("d > day").dropDuplicates(["raw_id", "account"])
+    later = hits.groupBy("account").agg(F.sum("amount").cast(MONEY).alias("adj"), F.max("d").alias("till"))
     adjustment = F.coalesce("adj", F.lit(0)).cast(MONEY)
     return last.join(later, "account", "left").select("account", "statement_balance", adjustment.alias("pending_adjustment"), (F.col("statement_balance") + adjustment).cast(MONEY).alias("balance"), F.coalesce("till", "day").alias("as_of"))
 

@@ -153,3 +153,14 @@ def test_cards_of_a_message_list(spark):
     got = {(r.capture, str(r.transaction_time), r.amount, r.dated) for r in captures.captured_rows(df).collect()}
     # the first card takes its page's last date; 9:30 was seen twice, dated first; 11:00 twice, the dated one counts; September has no 31st
     assert got == {("c", "2020-08-02 08:00:00", Decimal("1200.00"), False), ("c", "2020-07-05 10:00:00", Decimal("1200.00"), True), ("c", "2020-08-03 09:30:00", Decimal("1200.00"), True), ("c", "2020-09-30 11:00:00", Decimal("7.00"), True)}
+
+
+def test_accounts_named_in_texts(spark):
+    from ledgerloom.operators import records
+
+    rows = spark.createDataFrame([(1, "招商银行(9001)"), (2, "余额&工商银行"), (3, None), (4, "行"), (5, "ABC bank"), (6, "abc bank")], "id int, said string")
+    accounts = spark.createDataFrame([("招商银行", 1), ("工商银行", 2), ("商银", 3), ("行", 4), ("ABC", 5)], "account string, day int")
+    want = {(1, "招商银行"), (1, "商银"), (1, "行"), (2, "工商银行"), (2, "商银"), (2, "行"), (4, "行"), (5, "ABC")}
+    for few in (10, 4):
+        found = [(r.id, r.account) for r in records.naming(rows, "id", "said", accounts, few).collect()]
+        assert set(found) == want and len(found) == len(want)
