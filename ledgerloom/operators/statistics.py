@@ -61,6 +61,16 @@ def search(rows: DataFrame, words: str | None = None, kind: str | None = None, s
     return out
 
 
+def search_texts(canonicals: DataFrame, words: str, columns: tuple[str, ...] = ("merchant", "normalized_merchant", "notes")) -> DataFrame:
+    """canonicals one of whose text columns holds the words as they stand, whatever the case; null texts hold none, and empty words are everywhere."""
+    if not words:
+        return canonicals
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.contains(F.lower(c), F.lower(F.lit(words))), F.lit(False))
+    return canonicals.where(hit)
+
+
 def collisions(rows: DataFrame, key: list[str], party: str) -> DataFrame:
     """Groups of equal keys with several rows: count, and whether they name one party."""
     groups = rows.groupBy(*key).agg(F.count("*").alias("n_rows"), F.countDistinct(party).alias("parties"))

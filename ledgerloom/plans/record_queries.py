@@ -433,3 +433,84 @@ def table_counts(spark, d):
 def session_counts(spark, d):
     rows = load(spark, d, "candidates").groupBy(F.substring("right_raw_id", 1, 3).alias("session"))
     return rows.agg(F.count("*").alias("n_items"), F.count_if(F.col("status") == "pending").alias("n_pending"))
+
+
+_DECIDED = f"""WITH {ctes('relationships', 'canonicals')}, k AS (SELECT *, relationship_id[2:]::BIGINT AS n FROM relationships),
+rel AS (SELECT relationship_id, from_id, to_id, amount, status FROM k UNION ALL SELECT 'S' || n, from_id, 'C' || (n + 8), floor(amount / 2)::DECIMAL(18,2), 'pending' FROM k),
+rf AS (SELECT rel.*, relationship_id[2:]::BIGINT AS n, abs(c.amount) AS paid, EXISTS (SELECT 1 FROM rel x WHERE x.from_id = rel.from_id AND x.status = 'confirmed') AS linked FROM rel LEFT JOIN canonicals c ON c.canonical_id = rel.to_id),
+dec AS (SELECT relationship_id, n AS seq, ['confirm', 'reject', 'exclude', 'confirm'][n // 8 % 4 + 1] AS decision, 'u1' AS actor FROM rf WHERE (relationship_id[1] = 'R') = (n // 32 % 2 = 0) UNION ALL SELECT 'X' || n, n, 'confirm', 'u1' FROM rf WHERE n % 40 = 1 AND relationship_id[1] = 'R'),
+jd AS (SELECT dec.*, rf.from_id, CASE WHEN rf.status IS NULL THEN 'unknown relationship' WHEN rf.status <> 'pending' THEN 'decided already' WHEN decision = 'confirm' AND linked THEN 'refund linked already' WHEN decision = 'confirm' AND paid IS NULL THEN 'no original' WHEN decision = 'confirm' AND amount > paid THEN 'beyond the original' END AS fault FROM dec LEFT JOIN rf USING (relationship_id)),
+ev AS (SELECT rel.relationship_id, jd.actor, 'pending' AS before, CASE WHEN rel.relationship_id = jd.relationship_id THEN CASE decision WHEN 'confirm' THEN 'confirmed' ELSE 'rejected' END WHEN decision = 'confirm' THEN 'superseded' WHEN decision = 'exclude' THEN 'rejected' END AS after FROM rel JOIN jd ON rel.from_id = jd.from_id AND jd.fault IS NULL AND rel.status = 'pending')
+"""
+
+
+def _decided(spark, d):
+    """A second choice for every refund, and a decision on one of both; some decisions name no relationship."""
+    from ledgerloom.operators import refund_decisions
+
+    rows = load(spark, d, "relationships").select("relationship_id", "from_id", "to_id", "amount", "status")
+    n = F.expr("cast(substring(relationship_id, 2) as bigint)")
+    other = rows.select(F.concat(F.lit("S"), n).alias("relationship_id"), "from_id", F.concat(F.lit("C"), n + 8).alias("to_id"), F.floor(F.col("amount") / 2).cast("decimal(18,2)").alias("amount"), F.lit("pending").alias("status"))
+    both = rows.unionByName(other)
+    what = F.element_at(F.array(*map(F.lit, ["confirm", "reject", "exclude", "confirm"])), (F.floor(n / 8) % 4 + 1).cast("int"))
+    asked = both.where(F.startswith("relationship_id", F.lit("R")) == (F.floor(n / 32) % 2 == 0)).select("relationship_id", n.alias("seq"), what.alias("decision"), F.lit("u1").alias("actor"))
+    lost = rows.where(n % 40 == 1).select(F.concat(F.lit("X"), n).alias("relationship_id"), n.alias("seq"), F.lit("confirm").alias("decision"), F.lit("u1").alias("actor"))
+    return both, refund_decisions.judged(both, load(spark, d, "canonicals"), asked.unionByName(lost))
+
+
+@query("refund_decisions", _DECIDED + "SELECT * FROM jd")
+def refund_decisions(spark, d):
+    return _decided(spark, d)[1]
+
+
+@query("refund_events", _DECIDED + "SELECT * FROM ev WHERE after IS NOT NULL")
+def refund_events(spark, d):
+    from ledgerloom.operators import refund_decisions
+
+    return refund_decisions.refund_events(*_decided(spark, d))
+
+
+@query("refunds_decided", _DECIDED + "SELECT rel.relationship_id, rel.from_id, rel.to_id, rel.amount, coalesce(ev.after, rel.status) AS status FROM rel LEFT JOIN ev ON ev.relationship_id = rel.relationship_id AND ev.after IS NOT NULL")
+def refunds_decided(spark, d):
+    from ledgerloom.operators import refund_decisions
+
+    both, decided = _decided(spark, d)
+    return refund_decisions.after_decisions(both, refund_decisions.refund_events(both, decided))
+
+
+@query("refunds_excluded", _DECIDED + "SELECT from_id AS canonical_id, actor FROM jd WHERE fault IS NULL AND decision = 'exclude'")
+def refunds_excluded(spark, d):
+    from ledgerloom.operators import refund_decisions
+
+    return refund_decisions.excluded_refunds(_decided(spark, d)[1])
+
+
+@query("searched_texts", f"WITH {ctes('canonicals')} SELECT canonical_id FROM canonicals WHERE merchant ILIKE '%kfc%' OR normalized_merchant ILIKE '%kfc%' OR notes ILIKE '%kfc%' OR merchant ILIKE '%公付%' OR normalized_merchant ILIKE '%公付%' OR notes ILIKE '%公付%'")
+def searched_texts(spark, d):
+    from ledgerloom.operators import statistics
+
+    rows = load(spark, d, "canonicals")
+    return statistics.search_texts(rows, "kfc").union(statistics.search_texts(rows, "公付")).select("canonical_id").distinct()
+
+
+def _exact(spark, d):
+    rows = load(spark, d, "raws").where("source <> 'bank'")
+    refund = (F.col("amount") > 0) & (F.col("status") == "退款成功")
+    rows = rows.select(F.lit("o").alias("owner"), "raw_id", "transaction_time", "amount", "merchant", refund.alias("is_refund"), (F.col("status") == "交易关闭").alias("closed"), F.expr("cast(substring(raw_id, 2) as bigint)").alias("seq"))
+    return rows.withColumnsRenamed({"raw_id": "row_id", "transaction_time": "at", "merchant": "party"})
+
+
+@query("exact_refunds")
+def exact_refunds(spark, d):
+    """Refunds take originals up in order, so there is no SQL for the pairs."""
+    from ledgerloom.operators import refunds
+
+    return refunds.exact_refunds(_exact(spark, d))
+
+
+@query("exact_refund_report")
+def exact_refund_report(spark, d):
+    from ledgerloom.operators import refunds
+
+    rows = _exact(spark, d)
+    return refunds.exact_refund_report(rows, refunds.exact_refunds(rows), rows.where("closed"))
