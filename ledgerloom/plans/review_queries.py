@@ -162,7 +162,7 @@ def _adapted(name: str, source: str, heads: list[str], columns: dict[str, str],
         path = _folder(spark)
         rows = load(spark, d, "raws").where(F.col("source") == source)
         lines = _as_files(rows, "source_account", "raw_row_number", heads, line(), "x")
-        lines.repartition("source_account").sortWithinPartitions("source_account", "nth").select("source_account", "line").write.partitionBy("source_account").text(path)
+        lines.repartition(F.xxhash64("source_account")).sortWithinPartitions("source_account", "nth").select("source_account", "line").write.partitionBy("source_account").text(path)
         formats = adapters.built_in()
         if name not in ("alipay_v1_statements", "alipay_v2_statements"):
             formats.register(adapters.by_headings(name, name, (".TXT",), heads, columns))

@@ -31,9 +31,11 @@ def _as_files(rows: DataFrame, account: str, order: str, heads: list[str], line:
 
 def _read_back(spark: SparkSession, lines: DataFrame, account: str) -> DataFrame:
     path = _folder(spark)
-    lines.repartition(account).sortWithinPartitions(account, "nth").select(account, "line").write.partitionBy(account).text(path)
-    cells = statements.statement_cells(statements.statement_files(spark, path))
-    return statements.raw_rows(statements.records(cells), F.regexp_extract("file", f"{account}=([^/]+)/", 1))
+    # by a hash, not by the column: where the lines are a union already spread by account, Spark leaves the column's shuffle out and headings part from rows
+    lines.repartition(F.xxhash64(account)).sortWithinPartitions(account, "nth").select(account, "line").write.partitionBy(account).text(path)
+    owner = lambda file: F.regexp_extract(file, f"{account}=([^/]+)/", 1)
+    cells = statements.statement_cells(statements.statement_files(spark, path, owner=owner("path")))
+    return statements.raw_rows(statements.records(cells), owner("file"))
 
 
 _WAYS = {"expense": "支出", "income": "收入", "neutral": "不计收支"}

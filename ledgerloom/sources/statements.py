@@ -80,11 +80,11 @@ def _file_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["file", "file_hash", "row_no", "cells", "fault"])
 
 
-def statement_files(spark: SparkSession, path: str, pattern: str = "*.{csv,CSV,txt,xlsx}") -> DataFrame:
-    """(path, file_hash, content) of the statement files under a folder, each hash once: the least path of equal files."""
+def statement_files(spark: SparkSession, path: str, pattern: str = "*.{csv,CSV,txt,xlsx}", owner: Column | None = None) -> DataFrame:
+    """(path, file_hash, content) of the statement files under a folder, each hash once: the least path of equal files. With owner (over path), once for each owner."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     hashed = files.select("path", F.sha2("content", 256).alias("file_hash"), "content")
-    first = hashed.groupBy("file_hash").agg(F.min("path").alias("path"))
+    first = hashed.groupBy("file_hash", *([] if owner is None else [owner.alias("owner")])).agg(F.min("path").alias("path"))
     return hashed.join(first, ["file_hash", "path"], "left_semi").select("path", "file_hash", "content")
 
 

@@ -77,3 +77,27 @@ def test_ledger_is_written_in_order(spark, tmp_path):
     assert exports.unbalanced(lines).count() == 0
     with pytest.raises(ValueError):
         records.queue(df, [F.col("ts")], 0)
+
+
+def test_lines_of_an_account_stay_in_one_file(spark):
+    from ledgerloom.plans import source_queries
+
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        source = "/root/testdata/sf0.001"
+        rows = spark.read.parquet(f"{source}/events.parquet").where("round(value, 2) <> 0 and event_id % 41 <> 0").count()
+        assert source_queries.bank_statements(spark, source).count() == rows
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_equal_files_of_two_owners_stay(spark, tmp_path):
+    for name in ("k=1/a", "k=1/b", "k=2/a"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / f"{name}.csv").write_text("x")
+    of = lambda **more: sorted(r["path"][-9:] for r in S.statement_files(spark, f"file://{tmp_path}", **more).collect())
+    assert of() == ["k=1/a.csv"] and of(owner=F.regexp_extract("path", "k=([^/]+)/", 1)) == ["k=1/a.csv", "k=2/a.csv"]
