@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -69,15 +70,28 @@ def _sheet(data: bytes) -> Iterator[list[str]]:
             yield cells
 
 
+#: Rows of a file that are handed on at once.
+CHUNK = 5000
+
+
+def _rows_of(data: bytes) -> Iterator[list[str]]:
+    return _sheet(data) if data[:2] == b"PK" else csv.reader(io.StringIO(decoded(data), newline=""))
+
+
 def _file_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A file is read through once to see whether it can be, then handed on in chunks, so that no task holds all its cells."""
+    names = ["file", "file_hash", "row_no", "cells", "fault"]
     for batch in batches:
         for f in batch.itertuples():
             try:
-                rows = _sheet(f.content) if f.content[:2] == b"PK" else csv.reader(io.StringIO(decoded(f.content), newline=""))
-                out = [(f.path, f.file_hash, n, [c.strip() for c in cells], None) for n, cells in enumerate(rows, 1)]
+                for _ in _rows_of(f.content):
+                    pass
             except (ValueError, KeyError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                out = [(f.path, f.file_hash, 0, [], str(e))]
-            yield pd.DataFrame(out, columns=["file", "file_hash", "row_no", "cells", "fault"])
+                yield pd.DataFrame([(f.path, f.file_hash, 0, [], str(e))], columns=names)
+                continue
+            rows = enumerate(_rows_of(f.content), 1)
+            while part := [(f.path, f.file_hash, n, [c.strip() for c in cells], None) for n, cells in islice(rows, CHUNK)]:
+                yield pd.DataFrame(part, columns=names)
 
 
 def statement_files(spark: SparkSession, path: str, pattern: str = "*.{csv,CSV,txt,xlsx}", owner: Column | None = None) -> DataFrame:
