@@ -1,6 +1,7 @@
 """The engine, sums, ordered matches and refund assignment against brute force and written scenarios."""
 
 import random
+import pandas as pd
 from collections import Counter, defaultdict
 from datetime import date, datetime, timedelta
 from decimal import Decimal
@@ -221,3 +222,15 @@ def test_names_that_fit(spark):
     df = lambda c: spark.createDataFrame([(n,) for n in names], f"{c} string")
     got = {tuple(r) for r in refunds.fitting_names(df("a"), df("b")).collect()}
     assert got == {(a, b) for a in names for b in names if a in b or b in a}
+
+
+def test_exact_refunds_of_one_price_settle_without_a_look_at_used_rows():
+    import time
+
+    from ledgerloom.operators.refunds import _latest_unused
+
+    n = 6000
+    row = lambda i, back: {"row_id": f"{'r' if back else 'o'}{i}", "seq": 2 * i + back, "at": pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i), "party": "店", "is_refund": bool(back)}
+    group = pd.DataFrame([row(i, back) for back in (0, 1) for i in range(n)])
+    start = time.time()
+    assert list(_latest_unused(group)) == [(f"r{i}", f"o{i}") for i in range(n)] and time.time() - start < 5
