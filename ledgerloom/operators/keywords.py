@@ -1,41 +1,39 @@
-"""Which of many keywords a text holds, by an index of character pairs: the plan stays the same however long the table of keywords is."""
+"""Which of many keywords a text holds, by an index of their first characters: the plan stays the same however long the table of keywords is."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.durable import cut
 
 
-def _grams(c: str, n: int) -> Column:
-    """The distinct runs of n characters of a text that has as many."""
-    at = F.sequence(F.lit(1), F.greatest(F.char_length(c) - n + 1, F.lit(1)))
-    return F.when(F.char_length(c) >= n, F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+#: Characters of a keyword that pick the places where it may stand, characters that are compared there, and bytes of keywords that are broadcast.
+HEAD, COMPARED, BROADCAST = 4, 32, 8 << 20
 
 
 def keyword_hits(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(row_id, nth): every keyword (nth, word; nths differ) that a text (row_id, text; ids differ) holds, letters' case aside.
 
-    A keyword is looked for where its rarest character pair stands, rarest among these texts, and then confirmed. Keywords of one character
-    go by that character; blank and null ones are in no text, null texts hold none.
+    Every place of a text gives the characters that follow, at most COMPARED; a keyword is compared where its first HEAD characters stand, so
+    texts are neither shuffled nor searched a second time, but for longer keywords. Blank and null keywords are in no text, null texts hold none.
     """
     said = texts.select("row_id", F.lower("text").alias("said")).where("said <> ''")
     words = cut(keywords.select("nth", F.lower("word").alias("word")).where("trim(word) <> ''"))
-    out = None
-    for n in (1, 2):
-        mine = words.where(F.char_length("word") == 1) if n == 1 else words.where(F.char_length("word") >= 2)
-        if mine.isEmpty():
-            continue
-        grams = said.select("row_id", F.explode(_grams("said", n)).alias("g"))
-        own = mine.select("nth", "word", F.explode(_grams("word", n)).alias("g"))
-        # only pairs that keywords have are counted
-        counts = grams.join(own.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"))
-        rarest = own.join(counts, "g", "left").groupBy("nth", "word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("least"))
-        index = cut(rarest.where("least.n > 0").select("nth", "word", "least.g"))
-        found = grams.join(index, "g").join(said, "row_id").where(F.contains("said", "word")).select("row_id", "nth")
-        out = found if out is None else out.unionByName(found)
-    return words.select(F.lit(None).cast(dict(texts.dtypes)["row_id"]).alias("row_id"), "nth").limit(0) if out is None else out
+    sizes = {r["n"]: r for r in words.groupBy(F.least(F.char_length("word"), F.lit(HEAD)).alias("n")).agg(F.max(F.char_length("word")).alias("longest"), F.sum(F.octet_length("word") + 40).alias("bytes")).collect()}
+    out = words.select(F.lit(None).cast(dict(texts.dtypes)["row_id"]).alias("row_id"), "nth").limit(0)
+    for n, size in sorted(sizes.items()):
+        longest = min(size["longest"], COMPARED)
+        mine = words.where(F.least(F.char_length("word"), F.lit(HEAD)) == n).select("nth", "word", F.substring("word", 1, n).alias("g"))
+        # a place is no second half of a character beyond the basic plane
+        after = F.regexp_extract_all("said", F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{n - 1},{longest - 1}}}))"), F.lit(1))
+        places = said.select("row_id", F.explode(F.array_distinct(after) if longest <= HEAD else after).alias("after")).withColumn("g", F.substring("after", 1, n))
+        found = places.join(F.broadcast(mine) if size["bytes"] <= BROADCAST else mine, "g").where(F.startswith("after", F.substring("word", 1, COMPARED))).select("row_id", "nth", "word").distinct()
+        if size["longest"] > COMPARED:
+            long = F.char_length("word") > COMPARED
+            found = found.where(~long).unionByName(found.where(long).join(said, "row_id").where(F.contains("said", "word")).select("row_id", "nth", "word"))
+        out = out.unionByName(found.select("row_id", "nth"))
+    return out
 
 
 def first_keyword(texts: DataFrame, keywords: DataFrame, default: str) -> DataFrame:

@@ -164,3 +164,30 @@ def test_accounts_named_in_texts(spark):
     for few in (10, 4):
         found = [(r.id, r.account) for r in records.naming(rows, "id", "said", accounts, few).collect()]
         assert set(found) == want and len(found) == len(want)
+
+
+def test_keywords_of_every_length_in_one_long_text(spark):
+    import time
+
+    from ledgerloom.operators.keywords import keyword_hits
+
+    long = "x" * 40 + "y"
+    found = ["a", "bc", "def", "𠮷野", "ghijk", long]
+    lost = ["q", "zb", "feg", "ghijl", "x" * 40 + "z", "\ud842".encode("utf-16", "surrogatepass").decode("utf-16", "replace") + "bb"]
+    text = "".join(f"{k} " for k in range(60_000)) + " ".join(found).upper()
+    start = time.time()
+    hits = keyword_hits(spark.createDataFrame([(1, text), (2, None), (3, "")], "row_id int, text string"), spark.createDataFrame(list(enumerate(found + lost)), "nth int, word string")).collect()
+    assert sorted((r["row_id"], r["nth"]) for r in hits) == [(1, k) for k in range(len(found))] and time.time() - start < 30
+
+
+def test_collisions_of_one_amount_need_no_join_of_rows(spark):
+    import time
+
+    from ledgerloom.operators import observations
+
+    n = 40_000
+    amount = "cast(if(id % 2 = 0, -5, 5) as decimal(18,2)) as amount"
+    rows = spark.range(2 * n).selectExpr("'bank' as source", "'a' as source_account", "date'2024-01-01' as booking_date", amount, "cast(7 as decimal(18,2)) as balance", "'f' as source_file", "id as raw_row_number", "'p' as counterparty", "'d' as description")
+    start = time.time()
+    got = observations.balance_collisions(rows).collect()
+    assert [(r["n_rows"], r["interleaved_reversal"], r["priority"]) for r in got] == [(n, True, "review")] * 2 and time.time() - start < 30
