@@ -104,13 +104,19 @@ def balance_collisions(raws: DataFrame, large: int = 1000) -> DataFrame:
 
     high: no reversal between, and the same description with the same party or a large amount; else review.
     """
-    bank = raws.where("source = 'bank' and balance is not null").select("source_account", "booking_date", "amount", "balance", "source_file", "raw_row_number", T.audit_form(F.col("counterparty")).alias("party"), T.audit_form(F.col("description")).alias("what"))
+    # the next row of a file with the opposite amount, by a running least row number from the file's end on
+    later = Window.partitionBy("source_file", "size").orderBy(F.col("r").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    least = lambda of: F.min(F.when(of, F.col("r"))).over(later)
+    a = F.col("amount")
+    turn = F.when(a > 0, least(a < 0)).when(a < 0, least(a > 0)).when(a == 0, least(a == 0))
+    placed = raws.withColumns({"size": F.abs("amount"), "r": F.col("raw_row_number").cast("long")}).withColumn("turn", F.when(F.col("source_file").isNotNull(), turn))
+    told = lambda rows, *more: rows.where("source = 'bank' and balance is not null").select("source_account", "booking_date", "amount", "balance", *more)
+    bank = told(raws, T.audit_form(F.col("counterparty")).alias("party"), T.audit_form(F.col("description")).alias("what"))
     key = ["source_account", "booking_date", "amount", "balance"]
     groups = bank.groupBy(*key).agg(F.count("*").alias("n_rows"), F.count_distinct(F.nullif("party", F.lit(""))).alias("parties"), F.count_distinct(F.nullif("what", F.lit(""))).alias("whats")).where("n_rows > 1")
-    following = F.lead("raw_row_number").over(Window.partitionBy(*key, "source_file").orderBy("raw_row_number"))
-    gaps = bank.join(groups.select(*key), key).select(*key, "source_file", "raw_row_number", following.alias("next")).where("next is not null")
-    back = raws.select("source_file", F.col("raw_row_number").alias("r"), (-F.col("amount")).cast(MONEY).alias("amount"))
-    between = gaps.join(back, ["source_file", "amount"]).where("r > raw_row_number and r < next").select(*key).distinct().withColumn("reversal", F.lit(True))
+    following = F.lead("r").over(Window.partitionBy(*key, "source_file").orderBy("r"))
+    gaps = told(placed, "source_file", "r", "turn").withColumn("next", following)
+    between = gaps.where("turn < next").select(*key).distinct().withColumn("reversal", F.lit(True))
     out = groups.join(between, key, "left").withColumns({"interleaved_reversal": F.coalesce("reversal", F.lit(False)), "same_counterparty": F.col("parties") == 1, "same_description": F.col("whats") == 1})
     high = ~F.col("interleaved_reversal") & F.col("same_description") & (F.col("same_counterparty") | (F.abs("amount") >= large))
     return out.select(*key, "n_rows", "same_counterparty", "same_description", "interleaved_reversal", F.when(high, "high").otherwise("review").alias("priority"))
