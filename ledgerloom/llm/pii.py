@@ -130,7 +130,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, su
     has = materialize(has.select("doc_id", "th", F.explode("has").alias("term")).distinct(), "entity-words")
     terms = materialize(has.select("term").distinct(), "entity-terms")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{3,}"), F.lit(0)))
-    counted = docs.select(F.explode_outer(words).alias("term")).join(checked_broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df_term"))
+    # counted before the join, which then makes no more rows than there are terms
+    counted = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_term")).join(terms, "term")
     counted = materialize(counted, "term-counts")
     # joint <= df_entity, so disclosure >= alpha needs log(n / df_term) >= alpha * log(n / df_entity)
     rare = F.log(F.lit(n) / F.coalesce("df_term", F.lit(1))) >= F.lit(alpha) * F.log(F.lit(n) / F.col("df_entity")) - 1e-9
