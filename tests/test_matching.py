@@ -234,3 +234,17 @@ def test_exact_refunds_of_one_price_settle_without_a_look_at_used_rows():
     group = pd.DataFrame([row(i, back) for back in (0, 1) for i in range(n)])
     start = time.time()
     assert list(_latest_unused(group)) == [(f"r{i}", f"o{i}") for i in range(n)] and time.time() - start < 5
+
+
+def test_latest_originals_without_all_candidates(spark):
+    import time
+
+    rnd, kinds = random.Random(7), "row_id string, merchant string, day date, amount decimal(18,2)"
+    some = lambda p, n: spark.createDataFrame([(f"{p}{k}", rnd.choice(["abc", "退款-abc", "zab", "xy", None]), date(2024, 1, 1) + timedelta(days=rnd.randint(0, 400)), Decimal(rnd.randint(1, 30))) for k in range(n)], kinds)
+    back, paid = some("r", 150).cache(), some("o", 300).cache()
+    rows = lambda df: sorted((r["refund_id"], r["original_id"], r["days"]) for r in df.collect())
+    expected = rows(refunds.latest_original(refunds.refund_candidates(back, paid)))
+    assert expected and rows(refunds.latest_candidates(back, paid)) == expected
+    one = spark.range(60_000).selectExpr("cast(id as string) as row_id", "'shop' as merchant", "date'2024-01-01' as day", "cast(5 as decimal(18,2)) as amount")
+    start = time.time()
+    assert refunds.latest_candidates(one, one).count() == 60_000 and time.time() - start < 30
