@@ -8,6 +8,7 @@ from decimal import Decimal
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import engine, matching, refunds
 
@@ -291,3 +292,31 @@ def test_lone_matches_of_one_amount_and_day(spark):
     side = lambda p, source: spark.range(8_000).selectExpr(f"concat('{p}', id) as raw_id", f"'{source}' as source", "timestamp_ntz'2024-01-01 00:00:00' as transaction_time", "date'2024-01-01' as booking_date", "cast(5 as decimal(18,2)) as amount", *one.split(", "))
     start = time.time()
     assert lone.lone_matches(side("W", "alipay"), side("B", "bank")).isEmpty() and time.time() - start < 40
+
+
+@pytest.mark.parametrize("seed, n, top", [(1, 60, 6), (2, 200, 12), (3, 250, 40)])
+def test_assigned_refunds_are_the_preferred_ones(spark, seed, n, top):
+    rnd, kinds = random.Random(seed), "row_id string, merchant string, day date, amount decimal(18,2), at timestamp_ntz, orders array<string>, ids array<string>"
+
+    def row(p, k):
+        day = date(2024, 1, 1) + timedelta(days=rnd.randint(0, 300))
+        at = rnd.choice([None, datetime(day.year, day.month, day.day, rnd.choice([0, 0, 9]))])
+        return f"{p}{k}", rnd.choice(["abc", "退款-abc", "zab", "xy", "xyz", "q", None]), rnd.choice([day] * 9 + [None]), Decimal(rnd.randint(1, top)) / 4, at, rnd.choice([[], None, ["A"], ["B", "C"], ["C"]]), rnd.choice([[], ["t1"], ["t1_2"], ["t1_2_x", "u"], ["t", "u_"], None])
+
+    back, paid = (spark.createDataFrame([row(p, k) for k in range(size)], kinds).cache() for p, size in (("r", n), ("o", 2 * n)))
+    orders = back.union(paid).select("row_id", "at", "orders", "ids")
+    sides = [x.select("row_id", "merchant", "day", "amount") for x in (back, paid)]
+    ranked = refunds.ranked_originals(refunds.refund_candidates(*sides), orders)
+    want = refunds.preferred_refunds(ranked, back.select(F.col("row_id").alias("refund_id"), F.col("at").alias("refund_at")), refunds.refund_groups(*sides))
+    want = sorted(map(tuple, want.collect()))
+    assert want and (seed == 3 or {w for *_, w in want} == {True, False}) and sorted(map(tuple, refunds.assigned_refunds(*sides, orders).collect())) == want
+
+
+def test_assigned_refunds_of_one_shop(spark):
+    import time
+
+    side = lambda p: spark.range(20_000).selectExpr(f"concat('{p}', id) as row_id", "'shop' as merchant", "date'2024-01-01' as day", "cast(5 as decimal(18,2)) as amount")
+    back, paid = side("r"), side("o")
+    orders = back.union(paid).select("row_id", F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("at"), F.array(F.lit("A")).alias("orders"), F.array("row_id").alias("ids"))
+    start = time.time()
+    assert refunds.assigned_refunds(back, paid, orders).agg(F.countDistinct("refund_id", "original_id")).first()[0] == 20_000 and time.time() - start < 60
