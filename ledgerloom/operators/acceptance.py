@@ -62,9 +62,7 @@ def _refunds(canonicals: DataFrame) -> DataFrame:
     back, paid = _refund_sides(canonicals)
     at = F.coalesce("transaction_time", F.col("booking_date").cast("timestamp_ntz"))
     no = F.array().cast("array<string>")
-    ranked = refunds.ranked_originals(refunds.refund_candidates(back, paid), canonicals.select(F.col("canonical_id").alias("row_id"), at.alias("at"), no.alias("orders"), no.alias("ids")))
-    times = canonicals.select(F.col("canonical_id").alias("refund_id"), at.alias("refund_at"))
-    return refunds.preferred_refunds(ranked, times, refunds.refund_groups(back, paid))
+    return refunds.assigned_refunds(back, paid, canonicals.select(F.col("canonical_id").alias("row_id"), at.alias("at"), no.alias("orders"), no.alias("ids")))
 
 
 def _report(parts: dict[str, DataFrame]) -> DataFrame:
