@@ -320,3 +320,22 @@ def test_assigned_refunds_of_one_shop(spark):
     orders = back.union(paid).select("row_id", F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("at"), F.array(F.lit("A")).alias("orders"), F.array("row_id").alias("ids"))
     start = time.time()
     assert refunds.assigned_refunds(back, paid, orders).agg(F.countDistinct("refund_id", "original_id")).first()[0] == 20_000 and time.time() - start < 60
+
+
+def test_ranked_candidates_are_made_once_and_ranked_alike(spark):
+    rnd, kinds = random.Random(4), "row_id string, merchant string, day date, amount decimal(18,2)"
+    some = lambda p, n: [(f"{p}{k}", rnd.choice(["abc", "退款-abc", "zab", "xy", None]), rnd.choice([date(2024, 1, 1) + timedelta(days=rnd.randint(0, 400)), None]), Decimal(rnd.randint(1, 9))) for k in range(n)]
+    core = {"abc": "abc", "退款-abc": "abc", "zab": "zab", "xy": "xy", None: ""}
+    back, paid = some("r", 90), some("o", 90)
+    fit = lambda a, b: len(a) > 1 and len(b) > 1 and (a in b or b in a)
+    want = [(r[0], o[0], (r[2] - o[2]).days) for r in back for o in paid if r[2] and o[2] and fit(core[r[1]], core[o[1]]) and 0 <= (r[2] - o[2]).days <= 180 and r[3] <= o[3]]
+    n = Counter(r for r, *_ in want)
+    df = [spark.createDataFrame(x, kinds) for x in (back, paid)]
+    found = refunds.refund_candidates(*df)
+    assert sorted((r.refund_id, r.original_id, r.days, r.ambiguous) for r in found.collect()) == sorted((*w, n[w[0]] > 1) for w in want) and set(n.values()) > {1, 2}
+    # the join that makes the candidates comes last: they are neither counted nor joined again
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= oa#" in next(line for line in plan.splitlines() if "Join" in line)
+    at = spark.createDataFrame([(x[0], datetime(2024, 1, 1), [str(k % 3)], []) for k, x in enumerate(back + paid) if k % 8], "row_id string, at timestamp_ntz, orders array<string>, ids array<string>")
+    rows = lambda x: sorted((r.refund_id, r.original_id, r.same_order, r["rank"], r.ambiguous) for r in x.collect())
+    assert rows(refunds.ranked_candidates(*df, at)) == rows(refunds.ranked_originals(found, at))
