@@ -69,11 +69,13 @@ def as_of(items: DataFrame, versions: DataFrame, key: str, at: str, fields: list
     """items with the fields of the version (key, at, fields) of their key that was valid at items' column at: the last one not later; null where there was none.
 
     Versions and items of a key are walked in one ordered window, so no item meets every version of its key; a version of the same time counts.
+    Items without a key have no version and are spread, so that no task takes them all.
     """
-    v = versions.select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(0).alias("late"), F.struct(*fields).alias("v"), F.lit(None).cast(items.select(F.struct("*")).schema[0].dataType).alias("i"))
+    v = versions.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(0).alias("late"), F.struct(*fields).alias("v"), F.lit(None).cast(items.select(F.struct("*")).schema[0].dataType).alias("i"))
     i = items.select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(1).alias("late"), F.lit(None).cast(v.schema["v"].dataType).alias("v"), F.struct("*").alias("i"))
-    sofar = Window.partitionBy("k").orderBy("t", "late").rowsBetween(Window.unboundedPreceding, 0)
-    both = v.unionByName(i).withColumn("v", F.last("v", ignorenulls=True).over(sofar)).where("i is not null")
+    sofar = Window.partitionBy("k", "spread").orderBy("t", "late").rowsBetween(Window.unboundedPreceding, 0)
+    spread = F.when(F.col("k").isNull(), F.xxhash64("i")).otherwise(0)
+    both = v.unionByName(i).withColumn("spread", spread).withColumn("v", F.last("v", ignorenulls=True).over(sofar)).where("i is not null")
     return both.select("i.*", *[F.col(f"v.{f}").alias(f) for f in fields])
 
 

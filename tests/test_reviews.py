@@ -1,6 +1,7 @@
 """Review sessions, keyword tables, words on pages, signs from balances and statement adapters, on small tables."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -191,3 +192,16 @@ def test_collisions_of_one_amount_need_no_join_of_rows(spark):
     start = time.time()
     got = observations.balance_collisions(rows).collect()
     assert [(r["n_rows"], r["interleaved_reversal"], r["priority"]) for r in got] == [(n, True, "review")] * 2 and time.time() - start < 30
+
+
+def test_items_without_a_key_have_no_version_and_are_spread(spark):
+    at = datetime(2024, 3, 1)
+    items = spark.range(4000).selectExpr("id as item", "if(id = 7, 'x', null) as k", "timestamp_ntz'2024-03-01 00:00:00' as at")
+    versions = spark.createDataFrame([("x", at, 5), (None, at, 6)], "k string, at timestamp_ntz, n int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = sessions.as_of(items, versions, "k", "at", ["n"]).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 4000 and {(r.item, r.n) for r in rows if r.n is not None} == {(7, 5)}
+    assert max(Counter(r.part for r in rows).values()) < 2000
