@@ -44,3 +44,18 @@ def test_found_files(spark, tmp_path):
     why = discovery.REASONS
     assert [found[k] for k in ("a.CSV", "b.zip", "d", "e.csv")] == [("w", None), (None, why["packed"]), (None, why["other"]), ("w", None)]
     assert [v for k, v in found.items() if k.endswith("c.csv")] == [(None, why["by_hand"])]
+
+
+def test_found_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from ledgerloom import catalog
+    from ledgerloom.plans import account_queries
+
+    monkeypatch.setattr(account_queries, "shared_folder", lambda spark: str(tmp_path))
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").repartition(8).write.parquet(str(tmp_path / "in" / "orders.parquet"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task for each file of the input
+    try:
+        found = catalog.queries()["found_files"](spark, str(tmp_path / "in")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert len(found) == 3 and len(list(tmp_path.glob("found-*/account=bank/*.txt"))) > 1
