@@ -145,7 +145,7 @@ def resolve(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     asks = judged.where("not transfer and open and duplicate_of is null").select("owner", "row_id", "cents", F.col("secs").alias("s"), "seq", "day")
     offers = judged.where("open").select("owner", F.col("row_id").alias("other_id"), F.col("cents").alias("c2"), F.col("secs").alias("s2"), F.col("seq").alias("q2"), F.col("day").alias("d2"))
     # rows as near as each other: of the day before, the same day, the day after, then in order of arrival
-    fuzzy = nearest(asks, offers, [F.col("d2") - F.col("day"), F.col("q2")], F.col("q2") < F.col("seq"), ("owner",)).select("row_id", F.col("other_id").alias("near_id"))
+    fuzzy = nearest(asks, offers, lambda o: [o["d2"] - F.col("day"), o["q2"]], lambda o: o["q2"] < F.col("seq"), ("owner",)).select("row_id", F.col("other_id").alias("near_id"))
     status: Column = F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE").when(F.col("transfer"), "INTERNAL_TRANSFER").when(F.col("near_id").isNotNull(), "REVIEW").otherwise("UNIQUE")
     level = F.coalesce("level", F.when(F.col("near_id").isNotNull(), "L3"))
     out = judged.join(fuzzy, "row_id", "left").select("row_id", status.alias("status"), level.alias("level"), F.coalesce("duplicate_of", "near_id").alias("duplicate_of"), "kept")

@@ -10,7 +10,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import engine, matching, refunds
+from ledgerloom.operators import dedup, engine, matching, refunds
 
 ROWS = "owner string, row_id string, seq long, source string, ts timestamp_ntz, amount decimal(18,2), party string, description string"
 
@@ -418,3 +418,23 @@ def test_mixed_funding_of_one_account_and_day(spark):
     side = lambda i, n, sign: spark.range(n).selectExpr(f"cast(id as string) as {i}", "'x' as account", "date'2024-03-01' as day", f"cast({sign}(id % 3 + 1) as decimal(18,2)) as amount", "'支付宝' as merchant")
     start = time.time()
     assert matching.mixed_funding(side("raw_id", 60_000, ""), side("bank_id", 60_000, "-")).isEmpty() and time.time() - start < 40
+
+
+def test_nearest_needs_one_look_where_cells_are_not_crowded(spark, monkeypatch):
+    def never(df):
+        raise AssertionError("small radii are looked in, although a day's cells hold few rows")
+
+    rng = random.Random(5)
+    rows = [(f"r{k}", rng.randrange(40) * 70, rng.randrange(5 * 86_400)) for k in range(120)]
+    asks = spark.createDataFrame(rows, "row_id string, cents long, s long")
+    offers = asks.toDF("other_id", "c2", "s2")
+    look = lambda: {(r.row_id, r.other_id, r.seconds, r.cents_off) for r in dedup.nearest(asks, offers, lambda o: [F.abs(F.col("cents") - o["c2"])], lambda o: F.col("row_id") != o["other_id"]).collect()}
+    want = set()
+    for i, c, s in rows:
+        near = [(abs(s - s2), abs(c - c2), j) for j, c2, s2 in rows if i != j and abs(s - s2) <= 86_400 and abs(c - c2) <= 100]
+        want |= {(i, j, gap, off) for gap, off, j in [min(near)]} if near else set()
+    with monkeypatch.context() as m:
+        m.setattr(dedup, "cut", never)
+        assert look() == want
+    monkeypatch.setattr(dedup, "CROWD", 0)  # all cells are crowded: every radius
+    assert look() == want
