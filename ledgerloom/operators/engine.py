@@ -27,13 +27,13 @@ CELL_SECONDS, CELL_DAYS = 86_400, 365
 
 
 def prepared(rows: DataFrame, *more: str) -> DataFrame:
-    """What the engine looks at: owner, row_id, seq, source, secs, day, cents, out, party, transfer, rank, said_length, the hashes of both levels, and more columns as they are."""
+    """What the engine looks at: owner, row_id, seq, source, secs, day, cents, out, party, transfer, rank, said_length, the hashes of both levels, whether it is a bank's early row, and more columns as they are."""
     day = F.col("ts").cast("date")
     rank = T.first_of([(F.col("source") == s, F.lit(p)) for s, p in PRIORITY], F.lit(0))
     l1, l2 = level_hashes(F.col("ts"), F.col("source"), F.col("amount"), F.col("party"))
     return rows.select(
         "owner", "row_id", "seq", "source", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("secs"), F.datediff(day, F.lit("1970-01-01")).alias("day"), X.cents(F.col("amount")).alias("cents"), (F.col("amount") < 0).alias("out"), T.party_name(F.col("party")).alias("party"),
-        T.is_transfer(F.col("source"), T.text("description", "party")).alias("transfer"), rank.alias("rank"), F.char_length(T.text("party", "description")).alias("said_length"), l1.alias("l1"), l2.alias("l2"), *more,
+        T.is_transfer(F.col("source"), T.text("description", "party")).alias("transfer"), rank.alias("rank"), F.char_length(T.text("party", "description")).alias("said_length"), l1.alias("l1"), l2.alias("l2"), F.coalesce((F.col("source") == "bank") & (F.hour("ts") < 2), F.lit(False)).alias("early"), *more,
     )
 
 
@@ -55,6 +55,15 @@ def with_islands(rows: DataFrame, keys: list[str], at: str, gap: int, span: int,
     return joined.select(*[f"r.`{c}`" for c in rows.columns], (F.col("r._nth") + F.col("e._base")).alias(name))
 
 
+def in_company(rows: DataFrame, keys: list[str], at: str, gap: int, span: int) -> DataFrame:
+    """rows with company: false only where with_islands, of the same arguments, makes the row an island of its own. A row near a cell's edge counts as in company."""
+    cell = F.floor(F.col(at) / span)
+    w = Window.partitionBy(*keys, cell).orderBy(at)
+    before, after = F.col(at) - F.lag(at).over(w) <= gap, F.lead(at).over(w) - F.col(at) <= gap
+    edge = (F.col(at) - cell * span < gap) | ((cell + 1) * span - F.col(at) <= gap)
+    return rows.withColumn("company", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)) | F.coalesce(edge, F.lit(False)))
+
+
 class Arrivals:
     """Rows of one owner that later ones may match, by their hashes."""
 
@@ -80,45 +89,59 @@ def wins(r, other) -> bool:
     return (r.rank, r.said_length) >= (other.rank, other.said_length)
 
 
-def _settled(rows: list) -> Iterator[list]:
-    """One island in order of arrival: row_id, level and duplicate_of of rows that found a match or lost to one, whether kept, and whether later rows may match them.
+#: What is kept of a row once its island is settled, and what settling says of it.
+_JUDGED = ["owner", "row_id", "seq", "secs", "day", "cents", "transfer"]
+#: What the engine carries from task to task; the hashes are not among it, as within an island days and parties say the same.
+_CARRIED = [*_JUDGED, "source", "out", "party", "early", "rank", "said_length"]
+
+
+def _settled(rows: list) -> Iterator[tuple]:
+    """One island in order of arrival: what is kept of each row; level and duplicate_of if it found a match or lost to one, whether kept, and whether later rows may match it.
 
     A row that matched is no candidate for later rows; its partner may lose to it and stays one.
     """
     earlier, out = Arrivals(), {}
     for r in rows:
-        mine = out[r.row_id] = [r.row_id, None, None, True, True]
+        mine = out[r.row_id] = [None, None, True, True]
         found = None if r.transfer else earlier.match(r)
         if not found:
             earlier.add(r)
             continue
         other, level = found
         loser, winner = (out[other.row_id], r.row_id) if wins(r, other) else (mine, other.row_id)
-        mine[1], mine[4] = level, False
-        loser[1:4] = [level, winner, False]
-    yield from out.values()
+        mine[0], mine[3] = level, False
+        loser[:3] = [level, winner, False]
+    for r in rows:
+        yield (*(getattr(r, c) for c in _JUDGED), *out[r.row_id])
+
+
+def _days() -> Column:
+    return F.when(F.col("early"), F.array(F.col("day"), F.col("day") - 1)).otherwise(F.array(F.col("day")))
 
 
 def _unseen(rows: list) -> Iterator[tuple]:
-    """The ids of an island's rows none of whose exact hashes is known or came before."""
-    met: set[str] = set()
+    """An island's rows none of whose days came before."""
+    met: set[int] = set()
     for r in rows:
-        if not r.known and not met & set(r.l1):
-            met.update(r.l1)
-            yield (r.row_id,)
+        days = {r.day, r.day - 1} if r.early else {r.day}
+        if not met & days:
+            met |= days
+            yield tuple(getattr(r, c) for c in _CARRIED)
 
 
 def _new_rows(ready: DataFrame, seen: DataFrame) -> DataFrame:
     """The rows that an incremental load takes. Rows share exact hashes only if cents, direction, party and a booking day are the same."""
-    known = seen.select("owner", "h").distinct()
-    hit = ready.select("owner", "row_id", F.explode("l1").alias("h")).join(known, ["owner", "h"], "left_semi").select("owner", "row_id").distinct()
+    known = seen.select("owner", "h").distinct().withColumn("known", F.lit(True))
+    rows = ready.select(*_CARRIED, F.explode("l1").alias("h")).join(known, ["owner", "h"], "left").drop("h")
+    first = {c: F.first(c).alias(c) for c in _CARRIED if c != "row_id"}
+    # rows of two booking days came twice
+    twice = rows.where("early").groupBy("row_id").agg(*first.values(), F.bool_or(F.coalesce("known", F.lit(False))).alias("known")).where("not known")
+    unknown = rows.where("not early and known is null").select(*_CARRIED).unionByName(twice.select(*_CARRIED))
     keys = ["owner", "cents", "out", "party"]
-    flagged = ready.join(hit.withColumn("known", F.lit(True)), ["owner", "row_id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    flagged = with_islands(flagged, keys, "day", 1, CELL_DAYS).withColumn("size", F.count("*").over(Window.partitionBy(*keys, "island")))
-    flagged = cut(flagged.select(*ready.columns, "known", "island", "size"))
-    several = map_groups(flagged.where("size > 1").select(*keys, "island", "row_id", "seq", "l1", "known"), [*keys, "island"], ["seq"], _unseen, f"row_id {dict(ready.dtypes)['row_id']}")
-    kept = flagged.where("size = 1 and not known").select("row_id").union(several)
-    return flagged.join(kept, "row_id", "left_semi").select(*ready.columns)
+    flagged = cut(in_company(unknown, keys, "day", 1, CELL_DAYS))
+    kinds = dict(ready.dtypes)
+    several = map_groups(with_islands(flagged.where("company"), keys, "day", 1, CELL_DAYS), [*keys, "island"], ["seq"], _unseen, ", ".join(f"{c} {kinds[c]}" for c in _CARRIED))
+    return flagged.where("not company").select(*_CARRIED).unionByName(several)
 
 
 def islands(rows: DataFrame) -> DataFrame:
@@ -135,13 +158,15 @@ def resolve(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     place. An empty table gives an empty one. The largest group is an island: equal amounts of one owner in one direction at most two minutes apart.
     """
     ready = prepared(rows)
-    taken = cut(ready if seen is None else _new_rows(ready, seen))
-    keys, kind = ["owner", "cents", "out"], dict(ready.dtypes)["row_id"]
-    parted = with_islands(taken, keys, "secs", EXACT_SECONDS, CELL_SECONDS).withColumn("size", F.count("*").over(Window.partitionBy(*keys, "island")))
-    several = parted.where("size > 1").select(*keys, "island", "row_id", "seq", "source", "secs", "transfer", "rank", "said_length", "l1", "l2")
-    settled = map_groups(several, [*keys, "island"], ["seq"], _settled, f"row_id {kind}, level string, duplicate_of {kind}, kept boolean, open boolean")
+    taken = ready.select(*_CARRIED) if seen is None else cut(_new_rows(ready, seen))
+    keys, kinds = ["owner", "cents", "out"], dict(ready.dtypes)
+    kind, says = kinds["row_id"], f"level string, duplicate_of {kinds['row_id']}, kept boolean, open boolean"
+    flagged = cut(in_company(taken, keys, "secs", EXACT_SECONDS, CELL_SECONDS))
+    several = with_islands(flagged.where("company"), keys, "secs", EXACT_SECONDS, CELL_SECONDS).withColumns({"l1": F.transform(_days(), lambda d: F.concat_ws("|", d, "party")), "l2": _days()})
+    settled = map_groups(several, [*keys, "island"], ["seq"], _settled, ", ".join(f"{c} {kinds[c]}" for c in _JUDGED) + ", " + says)
     # rows of islands of one have nothing to match
-    judged = cut(taken.join(settled, "row_id", "left").select("owner", "row_id", "seq", "secs", "day", "cents", "transfer", "level", "duplicate_of", F.coalesce("kept", F.lit(True)).alias("kept"), F.coalesce("open", F.lit(True)).alias("open")))
+    alone = flagged.where("not company").select(*_JUDGED, F.lit(None).cast("string").alias("level"), F.lit(None).cast(kind).alias("duplicate_of"), F.lit(True).alias("kept"), F.lit(True).alias("open"))
+    judged = cut(alone.unionByName(settled))
     asks = judged.where("not transfer and open and duplicate_of is null").select("owner", "row_id", "cents", F.col("secs").alias("s"), "seq", "day")
     offers = judged.where("open").select("owner", F.col("row_id").alias("other_id"), F.col("cents").alias("c2"), F.col("secs").alias("s2"), F.col("seq").alias("q2"), F.col("day").alias("d2"))
     # rows as near as each other: of the day before, the same day, the day after, then in order of arrival

@@ -10,7 +10,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import dedup, engine, matching, refunds
+from ledgerloom.operators import dedup, durable, engine, matching, refunds
 
 ROWS = "owner string, row_id string, seq long, source string, ts timestamp_ntz, amount decimal(18,2), party string, description string"
 
@@ -438,3 +438,11 @@ def test_nearest_needs_one_look_where_cells_are_not_crowded(spark, monkeypatch):
         assert look() == want
     monkeypatch.setattr(dedup, "CROWD", 0)  # all cells are crowded: every radius
     assert look() == want
+
+
+def test_the_engine_carries_no_hashes(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(engine, "cut", lambda df: kept.append(set(df.columns)) or durable.cut(df))
+    df = spark.createDataFrame([(*r[:2], k, *r[3:]) for k, r in enumerate(_dense(random.Random(3), 60, ["a"], 2, [500, 560]))], ROWS)
+    assert engine.resolve(df, engine.hashes(df.where("seq % 10 = 0"))).count() == 60
+    assert kept and not any({"l1", "l2"} & columns for columns in kept)
