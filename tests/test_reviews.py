@@ -205,3 +205,11 @@ def test_items_without_a_key_have_no_version_and_are_spread(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(rows) == 4000 and {(r.item, r.n) for r in rows if r.n is not None} == {(7, 5)}
     assert max(Counter(r.part for r in rows).values()) < 2000
+
+
+def test_words_are_shuffled_once(spark):
+    words = spark.createDataFrame([("f", "h", 1, "Day", 10.0, 20.0, 10.0, 7.0), ("f", "h", 1, "Sum", 30.0, 40.0, 10.0, 7.0), ("f", "h", 1, "2024-01-02", 9.0, 19.0, 30.0, 7.0), ("f", "h", 1, "5.00", 31.0, 39.0, 30.0, 7.0)], "file string, file_hash string, page int, text string, x0 double, x1 double, top double, size double")
+    recs = geometry.page_records(words, "p", ["Day", "Sum"], footer="^end$")
+    plan = recs._jdf.queryExecution().executedPlan().toString()
+    assert [(r.row_no, r.row) for r in recs.collect()] == [(10_001, {"Day": "2024-01-02", "Sum": "5.00"})]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
