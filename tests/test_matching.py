@@ -446,3 +446,10 @@ def test_the_engine_carries_no_hashes(spark, monkeypatch):
     df = spark.createDataFrame([(*r[:2], k, *r[3:]) for k, r in enumerate(_dense(random.Random(3), 60, ["a"], 2, [500, 560]))], ROWS)
     assert engine.resolve(df, engine.hashes(df.where("seq % 10 = 0"))).count() == 60
     assert kept and not any({"l1", "l2"} & columns for columns in kept)
+
+
+def test_refund_pairs_are_made_in_many_tasks(spark):
+    rows = lambda p, n: spark.range(n).selectExpr(f"concat('{p}', id) as row_id", "concat('店铺', id % 7) as merchant", "date_add(date'2024-01-01', cast(id % 150 as int)) as day", "cast(1 + id % 3 as decimal(18,2)) as amount")
+    found = refunds.refund_candidates(rows("r", 700), rows("o", 700))
+    # few bytes make many pairs: Spark put them into one task
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and sum(n > 0 for n in found.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) > 4
