@@ -478,3 +478,32 @@ def test_ranked_candidates_keep_no_pairs(spark):
     found = refunds.ranked_candidates(rows("r"), rows("o"), orders)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan.split("MapInArrow")[0] and found.count() == 1600
+
+
+def test_candidates_are_not_made_by_joining_rows(spark):
+    one = spark.createDataFrame([("W1", "alipay", None, "expense"), ("W2", "alipay", "income", "income")], "raw_id string, source string, direction string, x string")
+    more = "timestamp_ntz'2024-01-01 10:00:00' as transaction_time, date'2024-01-01' as booking_date, cast(5 as decimal(18,2)) as amount, '退款' as merchant, '' as counterparty, '' as description, '招商银行' as payment_method, '9001' as bank_card_suffix, '' as status, cast(1 as decimal(18)) as balance"
+    p = one.selectExpr("raw_id", "source", "direction", *more.split(", "))
+    b = p.limit(1).withColumns({"raw_id": F.lit("B"), "source": F.lit("bank"), "direction": F.lit("income")})
+    found = matching.match_candidates(p, b)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    # a way that isn't known is no other way than a refund's, as the SQL has it
+    assert {(r.left_raw_id, r.evidence.split(",")[1], str(r.confidence)) for r in found.collect()} == {("W1", "anchored_refund_credit", "0.99"), ("W2", "refund_credit_direction", "0.99")}
+
+
+@pytest.mark.parametrize("most, texts", [(7, 16_000_000), (1_000, 0)])
+def test_candidates_are_made_by_runs(spark, monkeypatch, most, texts):
+    import pyarrow as pa
+
+    from ledgerloom.operators import pairs
+
+    raws = _some_raws(spark, 400, 3, 12, ["5", "-5"])
+    p, b = matching.match_side(raws.where("source <> 'bank'"), "p"), matching.match_side(raws.where("source = 'bank'"), "b").where("not b_product")
+    rows = pa.Table.from_pylist([r.asDict() for r in pairs.celled(p, b).orderBy("cell").collect()])
+    near = p.withColumn("day", F.explode(F.array(*[F.date_add("p_booking_date", d) for d in (-1, 0, 1)])))
+    want = sorted((r.left_raw_id, r.right_raw_id, r.evidence) for r in matching.scored(near.join(b.withColumn("day", F.col("b_booking_date")), ["amount", "day"])).collect())
+    monkeypatch.setattr(pairs, "PAIRS", most)
+    monkeypatch.setattr(pairs, "TEXTS", texts)
+    left, right, runs = pairs.candidates_in(rows)
+    got = [(left["raw_id"][int(i)].as_py(), right["raw_id"][int(j)].as_py(), ",".join(pairs._said(int(f)))) for run in runs for i, j, f in zip(*run, strict=True)]
+    assert len(want) > 20 and sorted(got) == want
