@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Stage:
+    """rows is what the stage says, kept what is stored of it and what later stages are made of; mostly they are the same."""
+
     name: str
     fingerprint: str
     rows: DataFrame
+    kept: DataFrame
 
 
 def content_fingerprint(df: DataFrame) -> str:
@@ -32,17 +35,18 @@ class Stages:
         self.spark, self.folder, self.computed = spark, folder.rstrip("/"), []
 
     def given(self, name: str, rows: DataFrame) -> Stage:
-        return Stage(name, content_fingerprint(rows), rows)
+        return Stage(name, content_fingerprint(rows), rows, rows)
 
-    def run(self, name: str, make: Callable[..., DataFrame], *inputs: Stage, version: str = "1") -> Stage:
-        """make(rows of the inputs) as a stored table. version is to change when make does. An output counts once it is whole: it is written elsewhere and renamed."""
+    def run(self, name: str, make: Callable[..., DataFrame], *inputs: Stage, version: str = "1", view: Callable[[DataFrame], DataFrame] | None = None) -> Stage:
+        """make(what the inputs keep) as a stored table; with view its rows are made of it when they are asked for. version is to change when make does. An output counts once it is whole: it is written elsewhere and renamed."""
         fingerprint = hashlib.sha256("|".join([name, version, *[i.fingerprint for i in inputs]]).encode()).hexdigest()[:32]
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}-{fingerprint}")
         fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(at):
             draft = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/draft-{uuid.uuid4().hex}")
-            make(*[i.rows for i in inputs]).write.parquet(draft.toString())
+            make(*[i.kept for i in inputs]).write.parquet(draft.toString())
             if not fs.rename(draft, at) and not fs.exists(at):
                 raise OSError(f"{at.toString()} could not be written")
             self.computed.append(name)
-        return Stage(name, fingerprint, self.spark.read.parquet(at.toString()))
+        kept = self.spark.read.parquet(at.toString())
+        return Stage(name, fingerprint, view(kept) if view else kept, kept)
