@@ -127,21 +127,31 @@ def headings(cells: DataFrame, formats: dict[str, list[str]] = L.FORMATS) -> Dat
 
 
 def records(cells: DataFrame, formats: dict[str, list[str]] = L.FORMATS) -> DataFrame:
-    """(file, file_hash, format, row_no, heads, row): the rows after the headings, as heading to text; blank rows are left out, short ones padded, of equal headings the first counts."""
-    heads = headings(cells, formats)
+    """(file, file_hash, format, row_no, heads, named, row): the rows after the headings, as heading to text; blank rows are left out, short ones padded, of equal headings the first counts.
+
+    named has the heading of each of a bank's words, looked for once in a file and not in each of its rows.
+    """
+    words = sorted({w for w in COLUMNS["bank"].values() if w != COLUMNS["bank"]["source"]})
+    found = F.map_from_arrays(F.array(*map(F.lit, words)), F.array(*[_named(w) for w in words]))
+    heads = headings(cells, formats).withColumn("named", F.when(F.col("format") == "bank", found))
     rows = cells.join(heads, "file").where((F.col("row_no") > F.col("head_row")) & F.exists("cells", lambda c: c != ""))
     keep = F.filter(F.sequence(F.lit(1), F.size("heads")), lambda i: (F.get(F.col("heads"), i - 1) != "") & (F.array_position(F.col("heads"), F.get(F.col("heads"), i - 1)) == i))
     row = F.map_from_entries(F.transform(keep, lambda i: F.struct(F.get(F.col("heads"), i - 1).alias("key"), T.cell(F.get(F.col("cells"), i - 1)).alias("value"))))
-    return rows.select("file", "file_hash", "format", "row_no", "heads", row.alias("row"))
+    return rows.select("file", "file_hash", "format", "row_no", "heads", "named", row.alias("row"))
+
+
+def _named(words: str) -> Column:
+    """The first heading that holds one of the words."""
+    return F.get(F.filter("heads", lambda h: T.has_any(h, words.split("|"))), F.lit(0))
 
 
-def _value(columns: dict[str, dict[str, str]], fmt: str, what: str) -> Column:
-    """A record's text for one column of one format, or null."""
+def _value(columns: dict[str, dict[str, str]], fmt: str, what: str, named: bool) -> Column:
+    """A record's text for one column of one format, or null. named: the records know the headings of a bank's words."""
     name = columns[fmt].get(what)
     if name is None:
         return F.lit(None).cast("string")
-    if fmt == "bank":  # the first heading that holds one of the words
-        head = F.get(F.filter("heads", lambda h: T.has_any(h, name.split("|"))), F.lit(0))
+    if fmt == "bank":
+        head = F.try_element_at("named", F.lit(name)) if named and name in COLUMNS["bank"].values() else _named(name)
         return F.nullif(F.try_element_at("row", head), F.lit(""))
     return F.nullif(F.try_element_at("row", F.lit(name)), F.lit(""))
 
@@ -154,7 +164,7 @@ def raw_rows(recs: DataFrame, account: Column, columns: dict[str, dict[str, str]
     """Raw ledger rows of records, with fault where a row can't be read: source, source_account, transaction_time, booking_date, amount, direction, merchant,
     counterparty, description, payment_method, bank_card_suffix, transaction_id, merchant_order_id, status, balance, source_file, source_file_hash, raw_row_number, original_row.
     """
-    get = lambda what: _of_format(columns, lambda f: _value(columns, f, what))
+    get = lambda what: _of_format(columns, lambda f: _value(columns, f, what, "named" in recs.columns))
     vals = recs.select("*", *[get(w).alias(f"v_{w}") for w in ("time", "day", "amount", "way", "signed", "unsigned", "in", "out", "balance", "party", "party2", "kind", "what", "method", "number", "order", "status", "card")])
     stated, way = T.signed_amount(F.col("v_amount"), F.col("v_way"))
     number = lambda c: F.regexp_replace(c, r"[¥￥$,\s]", "").try_cast(X.MONEY)

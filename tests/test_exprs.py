@@ -27,3 +27,12 @@ def test_dates_and_suffixes(spark):
 def test_short_names_have_no_bigrams(spark):
     assert _one(spark, X.bigrams, "a") == []
     assert _one(spark, X.bigrams, "abc") == ["ab", "bc"]
+
+
+def test_only_texts_with_a_formats_marks_are_parsed(spark):
+    texts = ["2024-03-01 10:00:00", "2024/03/01 10:00", " 20240301 ", "20240301100000", "2024-03-01", "2024-13-01", "soon", "08:00:00", "", None, "2024-3-1", "20240301 10:00:00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    tried = F.coalesce(*[F.try_to_timestamp(F.trim("t"), F.lit(f)) for f in X.DATE_FORMATS])
+    assert df.where(~X.parse_datetime(F.col("t")).eqNullSafe(tried)).isEmpty() and df.where(X.parse_datetime(F.col("t")).isNotNull()).count() == 6
+    plan = df.select(X.try_stamp(F.col("t"), "yyyy-MM-dd"))._jdf.queryExecution().analyzed().toString()
+    assert "RLIKE" in plan  # each failure throws, which costs as much as many rows

@@ -101,3 +101,13 @@ def test_equal_files_of_two_owners_stay(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text("x")
     of = lambda **more: sorted(r["path"][-9:] for r in S.statement_files(spark, f"file://{tmp_path}", **more).collect())
     assert of() == ["k=1/a.csv"] and of(owner=F.regexp_extract("path", "k=([^/]+)/", 1)) == ["k=1/a.csv", "k=2/a.csv"]
+
+
+def test_headings_of_a_bank_are_named_once_in_a_file(spark, tmp_path):
+    (tmp_path / "c.csv").write_bytes("交易日期,交易时间,收入,支出,余额,交易对手,摘要\n2024-03-01,08:00:00,,20.00,80.00,丙,买\n".encode())
+    (tmp_path / "b.csv").write_bytes(f"{ALIPAY}\n2024-03-01 10:00:00,x,乙,x,y,支出,2.00,,交易成功,T2\n".encode())
+    recs = S.records(S.statement_cells(S.statement_files(spark, f"file://{tmp_path}")))
+    got = {r["format"]: r["named"] for r in recs.collect()}
+    assert got["alipay_official"] is None and got["bank"][S.COLUMNS["bank"]["out"]] == "支出" and got["bank"][S.COLUMNS["bank"]["signed"]] is None
+    rows = lambda x: [(r["amount"], r["balance"], r["merchant"], r["transaction_time"]) for r in S.raw_rows(x, F.lit("me")).orderBy("amount").collect()]
+    assert rows(recs) == rows(recs.drop("named")) and len(rows(recs)) == 2
