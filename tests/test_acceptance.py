@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import lone
 from ledgerloom.operators.acceptance import accept
 from ledgerloom.operators.durable import shared_folder
 from ledgerloom.operators.stages import Stages, content_fingerprint
@@ -48,3 +49,13 @@ def test_a_changed_input_is_computed_anew(spark):
     s = Stages(spark, folder)
     s.run("double", lambda r: r, s.given("in", one), version="2")
     assert s.computed == ["double"]
+
+
+def test_candidates_are_kept_as_rows(spark):
+    one = "'expense' as direction, '星巴克' as merchant, '' as counterparty, '' as description, '招商银行' as payment_method, '9001' as bank_card_suffix, '' as status, cast(1 as decimal(18)) as balance, cast(null as long) as raw_row_number"
+    side = lambda p, source: spark.range(30).selectExpr(f"concat('{p}', id) as raw_id", f"'{source}' as source", "timestamp_ntz'2024-01-01 10:00:00' as transaction_time", "date'2024-01-01' as booking_date", "cast(5 as decimal(18,2)) as amount", *one.split(", "))
+    rows = lone.candidate_rows(side("W", "alipay"), side("B", "bank")).cache()
+    # 900 candidates of 60 rows, all of which wait as bank rows without a place are in no order
+    assert rows.count() == 60 and {r.n_rows for r in rows.collect()} == {60} and lone.candidates_of(rows).count() == 900
+    assert lone.lone_of(rows).isEmpty() and lone.ordered_of(rows, side("W", "alipay"), side("B", "bank")).isEmpty()
+    assert {(r.bank, r.degree) for r in lone.with_degrees_of(rows).collect()} == {(False, 30), (True, 30)}
